@@ -153,7 +153,7 @@ class MergeReplay:
 class Coder:
     """Encodes and decodes texts; keep: the most pieces and words that are remembered."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, keep: int = 1_000_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, keep: int = 400_000):
         self.replay = MergeReplay(ranks)
         self.find = regex.compile(pattern).findall
         self.keep = keep

@@ -7,6 +7,8 @@ import uuid
 import zipfile
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,3 +72,29 @@ def partitions_for(spark: SparkSession, n_bytes: int, each: int = 64 << 20) -> i
 
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def split_points(docs: DataFrame, n: int) -> list[int]:
+    """At most n - 1 identifiers that part the table into about n even ranges; each is the greatest of its range.
+
+    The quantile sketch is bounded by n; it works on doubles, so its bounds are then moved to identifiers that exist.
+    """
+    if n < 2:
+        return []
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null")
+    found = ids.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], max(10_000, 10 * n))).first()[0]
+    bounds = np.array(sorted(set(found or [])), dtype=np.int64)
+    if not len(bounds):
+        return []
+
+    def greatest(batches):
+        for batch in batches:
+            own = batch.column(0).to_numpy(zero_copy_only=False)
+            piece = np.searchsorted(bounds, own, side="left")
+            most = np.full(len(bounds) + 1, -(1 << 63), np.int64)
+            np.maximum.at(most, piece, own)
+            has = np.unique(piece)
+            yield pa.RecordBatch.from_arrays([pa.array(has, pa.int64()), pa.array(most[has])], ["piece", "doc_id"])
+
+    ends = ids.mapInArrow(greatest, "piece long, doc_id long").groupBy("piece").agg(F.max("doc_id").alias("doc_id")).collect()
+    return sorted(r.doc_id for r in ends if r.piece < len(bounds))

@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, partitions_for, ship_package
+from .common import new_path, partitions_for, ship_package, split_points
 from .pieces import encode_column
 
 MAGIC = b"LSST0001"
@@ -47,7 +47,7 @@ class WordIds:
     than lower their letters; all others are encoded by the whole tokenizer.
     """
 
-    def __init__(self, data: bytes, keep: int = 1_000_000):
+    def __init__(self, data: bytes, keep: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(data.decode("utf-8"))
@@ -267,17 +267,6 @@ def open_folder(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri) if "://" in uri else (pafs.LocalFileSystem(), uri)
 
 
-def split_points(docs: DataFrame, n: int) -> list[int]:
-    """Identifiers of the table that part it into about n even ranges; at most n - 1 numbers."""
-    if n < 2:
-        return []
-    found = docs.where("doc_id is not null").approxQuantile("doc_id", [i / n for i in range(1, n)], min(0.01, 0.1 / n)) if n < 2000 else []
-    if n >= 2000:  # the sketch would grow; sampled bounds do as well, for every row is still placed exactly
-        rate = docs.selectExpr("xxhash64(doc_id) as h", "doc_id").where(f"pmod(h, {max(1, n)}) = 0")
-        found = [r[0] for r in rate.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n)).first()[0] or []]
-    return sorted({int(x) for x in found})
-
-
 def write_shards(docs: DataFrame, tokenizer_file: str, folder: str | None = None, end_id: int = 2, shard_bytes: int = 32 << 20) -> DataFrame:
     """(doc_id, text) -> one row a shard: (shard long, path, n_rows, n_ids), shards in ascending order of identifiers.
 
@@ -302,7 +291,7 @@ def write_shards(docs: DataFrame, tokenizer_file: str, folder: str | None = None
         for batch in batches:
             codes = [c + end for c in own.encode(batch.column(1)).to_pylist()]
             ids = batch.column(0)
-            shard = np.searchsorted(lows, ids.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), side="right")
+            shard = np.searchsorted(lows, ids.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), side="left")
             small = [np.frombuffer(c, "<u4") for c in codes]
             packed = [b"\2" + s.astype("<u2").tobytes() if s.max() < 1 << 16 else b"\4" + c for s, c in zip(small, codes, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), ids, pa.array(packed, pa.binary())], ["shard", "doc_id", "ids"])
