@@ -18,6 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .native import running_sum
+
 
 @dataclass(frozen=True)
 class ChatTemplate:
@@ -114,11 +116,8 @@ def format_chat(rows: DataFrame, template: ChatTemplate = DEFAULT) -> DataFrame:
         ),
     )
     sized = pieces.withColumn(
-        "ends",
-        running_sum(
-            F.transform("pieces", lambda p: (F.char_length(p["before"]) + F.char_length(p["text"]) + F.char_length(p["after"])).cast("long"))
-        ),
-    )
+        "sizes", F.transform("pieces", lambda p: (F.char_length(p["before"]) + F.char_length(p["text"]) + F.char_length(p["after"])).cast("long"))
+    ).withColumn("ends", running_sum("sizes"))
     return sized.select(
         "conv_id",
         F.array_join(F.transform("pieces", lambda p: F.concat(p["before"], p["text"], p["after"])), "").alias("formatted"),
@@ -132,26 +131,6 @@ def format_chat(rows: DataFrame, template: ChatTemplate = DEFAULT) -> DataFrame:
     )
 
 
-def running_sum(values: Column) -> Column:
-    """Inclusive prefix sums of an array of longs, over blocks of 256: no quadratic copying of long arrays."""
-    n = F.size(values)
-    step = 256
-    of_block = lambda b: F.slice(values, b * step + 1, F.lit(step))
-    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
-    grow = lambda a, zero: F.aggregate(
-        a,
-        F.struct(zero.alias("s"), F.array().cast("array<long>").alias("out")),
-        lambda acc, x: F.struct((acc["s"] + x).alias("s"), F.concat(acc["out"], F.array(acc["s"] + x)).alias("out")),
-        lambda acc: acc["out"],
-    )
-    blocks = F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / step).cast("int"))).otherwise(F.array().cast("array<int>"))
-    totals = F.transform(blocks, lambda b: total(of_block(b)))
-    before = F.when(n <= step, F.array(F.lit(0).cast("long"))).otherwise(F.concat(F.array(F.lit(0).cast("long")), grow(totals, F.lit(0).cast("long"))))
-    return F.when(n <= step, grow(values, F.lit(0).cast("long"))).otherwise(
-        F.flatten(F.transform(blocks, lambda b: grow(of_block(b), F.get(before, b))))
-    )
-
-
 def read_chat(formatted: DataFrame, template: ChatTemplate = DEFAULT) -> DataFrame:
     """Reads the turns back: conv_id, turns array<struct<role, text>>, loss_text, formatted, loss_mask."""
     cut = lambda text, mark: F.split(text, re.escape(mark), -1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, simhash, sstable
+from . import bpe, chat, prefixes, quality, secrets, simhash, sstable
 from .common import materialize, new_path, read_table, text_or_empty
 
 
@@ -68,6 +68,19 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(coded)
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(secrets.scan(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op7_prefix_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.compare_with_next(read_table(spark, sf_dir, "documents"))
+
+
+def op8_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return quality.classify(docs, read_table(spark, sf_dir, "labels")).drop("text")
+
+
 def op9_token_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     folder = new_path(spark, "sstable")
@@ -76,7 +89,7 @@ def op9_token_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat_format, op2_simhash_near_dedup, op5_byte_bpe, op9_token_sstable)}
+    return {f.__name__: f for f in (op1_chat_format, op2_simhash_near_dedup, op5_byte_bpe, op6_secret_scan, op7_prefix_fingerprint, op8_quality_bayes, op9_token_sstable)}
 
 
 def oracle_sql() -> dict[str, str]:
