@@ -58,3 +58,33 @@ def with_matches(df: DataFrame, text: str, pattern: str, out: str, having: Colum
         lambda i: F.struct((F.get(e, i) - F.get(n, i)).alias("start"), F.get(e, i).alias("end"), F.get(p, i).alias("match")),
     )
     return df.withColumn(out, F.when(F.size(p) > 1, found).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,match:string>>"))).drop(p, n, e)
+
+#: Blanks that part words: space and U+0009 to U+000D.
+BLANKS = " \t\n\x0b\f\r"
+
+
+def words_of(text: Column) -> Column:
+    """The words [^\\x20\\x09-\\x0D]+ of a text; null and blank texts have none."""
+    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS))
+    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+", -1))
+
+
+def shingle_hashes(words: str, k: int) -> Column:
+    """A 64-bit hash of every k neighbouring words of an array column; none if it is shorter."""
+    return F.when(
+        F.size(words) >= k,
+        F.transform(F.sequence(F.lit(0), F.size(words) - k), lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(k)])),
+    ).otherwise(F.array().cast("array<long>"))
+
+
+def numbered(column: str) -> Column:
+    """An array of longs whose repeats are made distinct, so that set operations count multisets."""
+    a = F.col(column)
+    return F.when(F.size(F.array_distinct(a)) == F.size(a), a).otherwise(
+        F.transform(
+            a,
+            lambda x, i: F.when(F.array_position(a, x) == i + 1, x).otherwise(
+                F.xxhash64(x, F.size(F.filter(F.slice(a, F.lit(1), i), lambda y: y == x)))
+            ),
+        )
+    )

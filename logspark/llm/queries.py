@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, prefixes, quality, secrets, simhash, sstable
+from . import bpe, chat, decontaminate, licenses, prefixes, quality, secrets, simhash, sstable
 from .common import materialize, new_path, read_table, text_or_empty
 
 
@@ -60,6 +60,43 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_in_component")
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "benchmark"))
+
+
+#: The exact similarity of all aligned windows; so it also shows that the fingerprints' radius loses none.
+OP4_SQL = r"""
+    with item_words as (
+      select item_id, list_filter(string_split_regex(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from benchmark),
+    items as (
+      select item_id, len(w) as n, least(len(w), 5) as k,
+        [array_to_string(w[i:i + least(len(w), 5) - 1], ' ') for i in range(1, len(w) - least(len(w), 5) + 2)] as s
+      from item_words where len(w) > 0),
+    docs as (
+      select row_number() over () as r, doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+      from documents),
+    shingles as (
+      select r, k, unnest(range(0, len(w) - k + 1)) as p, unnest([array_to_string(w[i:i + k - 1], ' ') for i in range(1, len(w) - k + 2)]) as s
+      from docs, (select distinct k from items) where len(w) >= k),
+    item_shingles as (select item_id, n, k, unnest(s) as s, unnest(range(0, len(s))) as o from items),
+    windows as (select distinct r, item_id, i.n, i.k, s.p - i.o as start from shingles s join item_shingles i on s.k = i.k and s.s = i.s),
+    inside as (
+      select w.r, w.item_id, w.start, s.s, count(*) as c from windows w join shingles s
+        on s.r = w.r and s.k = w.k and s.p between greatest(w.start, 0) and w.start + w.n - w.k group by all),
+    sizes as (select r, item_id, start, sum(c) as m from inside group by all),
+    wanted as (select item_id, s, count(*) as c from item_shingles group by all),
+    item_sizes as (select item_id, sum(c) as m from wanted group by all),
+    common as (select r, item_id, start, sum(least(i.c, w.c)) as c from inside i join wanted w using (item_id, s) group by all),
+    alike as (
+      select r, item_id, max(c * 1.0::double / (s.m + i.m - c)) as similarity
+      from common join sizes s using (r, item_id, start) join item_sizes i using (item_id)
+      group by all having max(c * 1.0::double / (s.m + i.m - c)) >= 0.8),
+    by_doc as (select r, count(*) as n_items, string_agg(cast(item_id as varchar), ',' order by item_id) as items, max(similarity) as similarity from alike group by r)
+    select doc_id, by_doc.r is not null as contaminated, coalesce(n_items, 0) as n_items, coalesce(items, '') as items,
+      coalesce(similarity, 0.0::double) as similarity
+    from docs left join by_doc using (r)"""
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -88,9 +125,40 @@ def op9_token_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read_shards(shards, folder)
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def _op10_sql() -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = ", ".join(f"({i}, {quoted(n)}, [{', '.join(map(quoted, licenses.bigrams(licenses.plain_words(t))))}])" for i, (n, t) in enumerate(licenses.TEMPLATES))
+    t = licenses.SIMILARITY
+    return rf"""
+    with templates(id, license, grams) as (values {rows}),
+    docs as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
+    segments as (
+      select r, unnest(string_split(text, chr(10))) as x from docs
+      union select r, unnest(string_split(regexp_replace(text, '([.!?;])[ 	-]+', '' || chr(10), 'g'), chr(10))) from docs
+      union select r, text from docs),
+    words as (select r, list_filter(string_split(trim(regexp_replace(lower(x), '[^\pL\pN]+', ' ', 'g')), ' '), lambda y: y <> '') as w from segments),
+    grams as (
+      select row_number() over () as g, r, case when len(w) < 2 then w else [w[i] || ' ' || w[i + 1] for i in range(1, len(w))] end as s
+      from words where len(w) between 1 and 60),
+    counted as (select g, s, count(*) as c from (select g, unnest(s) as s from grams) group by all),
+    wanted as (select id, s, count(*) as c from (select id, unnest(grams) as s from templates) group by all),
+    common as (select g, id, sum(least(a.c, b.c)) as c from counted a join wanted b using (s) group by all),
+    scored as (
+      select r, license, max(2 * c::double / (len(grams.s) + len(templates.grams))) as dice
+      from common join grams using (g) join templates using (id) group by all
+      having max(2 * c::double / (len(grams.s) + len(templates.grams))) >= {t})
+    select doc_id, coalesce(string_agg(license, ',' order by license), '') as licenses, count(license) as n_licenses,
+      coalesce(first(license order by dice desc, license), '') as best, coalesce(max(dice), 0.0::double) as dice
+    from docs left join scored using (r) group by r, doc_id"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat_format, op2_simhash_near_dedup, op5_byte_bpe, op6_secret_scan, op7_prefix_fingerprint, op8_quality_bayes, op9_token_sstable)}
+    return {f.__name__: f for f in (op1_chat_format, op2_simhash_near_dedup, op4_decontaminate, op5_byte_bpe, op6_secret_scan, op7_prefix_fingerprint, op8_quality_bayes, op9_token_sstable, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": _op1_sql()}
+    return {"op1_chat_format": _op1_sql(), "op4_decontaminate": OP4_SQL, "op10_license_scan": _op10_sql()}
