@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .native import numbered, shingle_hashes, words_of
+from .native import fixed, numbered, shingle_hashes, words_of
 
 SHINGLE, RADIUS, SIMILARITY = 5, 16, 0.8
 #: Rows of the items' shingle table, some 40 bytes each, up to which it is broadcast.
@@ -63,7 +63,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def find_leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """docs (doc_id, text), items (item_id, text) -> (doc_id, text_hash, item_id, similarity), one row for each pair."""
-    own = items.select(F.col("item_id").cast("long").alias("item_id"), words_of(F.lower(F.col("text").cast("string"))).alias("words")).where(F.size("words") > 0)
+    own = items.select(F.col("item_id").cast("long").alias("item_id"), F.lower(F.col("text").cast("string")).alias("text"))
+    own = fixed(own, "words", words_of(F.col("text"))).drop("text").where(F.size("words") > 0)
     lengths = [r[0] for r in own.select(F.least(F.size("words"), F.lit(SHINGLE)).alias("k")).distinct().collect()]  # 5 at most
     parts = [own.where(F.least(F.size("words"), F.lit(SHINGLE)) == k).withColumn("hashes", shingle_hashes("words", k)).withColumn("k", F.lit(k)) for k in lengths]
     if not parts:
@@ -76,10 +77,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY
     own, _ = materialize(own, "items")
     shingles, _ = materialize(own.select("item_id", "k", "n", F.posexplode("hashes").alias("offset", "h")), "item-shingles")
     n_shingles = shingles.count()
-    keyed = _keyed(docs).withColumn("words", words_of(F.col("text")))
+    keyed = fixed(_keyed(docs), "words", words_of(F.col("text")))
     starts = None
     for k in lengths:
-        places = keyed.select("doc_id", "text_hash", F.posexplode(shingle_hashes("words", k)).alias("place", "h"))
+        hashed = fixed(keyed.select("doc_id", "text_hash", "words"), "hashes", shingle_hashes("words", k))
+        places = hashed.select("doc_id", "text_hash", F.posexplode("hashes").alias("place", "h"))
         known = shingles.where(F.col("k") == k)
         hit = places.join(F.broadcast(known) if n_shingles <= BROADCAST_ROWS else known, "h").select(
             "doc_id", "text_hash", "k", "n", (F.col("place") - F.col("offset")).alias("start")
@@ -94,14 +96,15 @@ def find_leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY
     cut = None
     for k in lengths:
         at = windows.where(F.col("k") == k)
-        w = held.join(at, same(held, at)).select(
-            held["doc_id"],
-            held["text_hash"],
+        at = at.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
+        w = held.join(at, held["doc_id"].eqNullSafe(at["_id"]) & (held["text_hash"] == at["_hash"])).select(
+            "doc_id",
+            "text_hash",
             "k",
             "n",
             F.slice("words", F.greatest(F.col("start"), F.lit(0)) + 1, F.least(F.col("start") + F.col("n"), F.size("words")) - F.greatest(F.col("start"), F.lit(0))).alias("own"),
         )
-        w = w.withColumn("hashes", shingle_hashes("own", k)).where(F.size("hashes") > 0)
+        w = fixed(fixed(w, "words", F.col("own")), "hashes", shingle_hashes("words", k)).where(F.size("hashes") > 0)
         cut = w if cut is None else cut.union(w)
     # Equal windows, as of a passage in many documents, are compared once for all.
     cut = cut.withColumn("id", F.xxhash64("n", "hashes"))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .native import numbered
+from .native import fixed, numbered
 
 SIMILARITY = 0.8
 #: Public notices, by SPDX identifier; some have several wordings.
@@ -61,7 +61,8 @@ def segments(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     lines = F.split(text, "\n", -1)
     sentences = F.split(F.regexp_replace(text, r"([.!?;])[\x20\x09-\x0D]+", "$1\n"), "\n", -1)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.explode(F.concat(lines, sentences, F.array(text))).alias("segment"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.explode(F.array(F.concat(lines, sentences, F.array(text)))).alias("all"))
+    return keyed.select("doc_id", "text_hash", F.explode(F.array_distinct("all")).alias("segment"))
 
 
 def find(docs: DataFrame, templates=TEMPLATES, similarity: float = SIMILARITY) -> DataFrame:
@@ -75,11 +76,12 @@ def find(docs: DataFrame, templates=TEMPLATES, similarity: float = SIMILARITY) -
     known = frame.select(F.explode("template").alias("g"), "license", "template")
     # A segment under the largest template's bound in words is short, whatever its characters are.
     own = segments(docs).where(F.regexp_count("segment", F.lit(r"[\p{L}\p{N}]+")) .between(lo, hi + 1))
-    own = own.withColumn("words", F.split(_normal(F.col("segment")), " ", -1)).withColumn("grams", _bigrams("words")).where(F.size("grams").between(lo, hi))
+    own = fixed(own, "words", F.split(_normal(F.col("segment")), " ", -1)).drop("segment")
+    own = fixed(own, "grams", _bigrams("words")).drop("words").where(F.size("grams").between(lo, hi))
     # Only these hashes can be common to a segment and a template; the list is as long as the templates.
     every = sorted({r[0] for r in known.select("g").collect()})
     own = own.where(F.arrays_overlap("grams", F.array(*[F.lit(g) for g in every])))
-    own = own.withColumn("own", numbered("grams")).select("doc_id", "text_hash", "own")
+    own = fixed(own, "own", numbered("grams")).select("doc_id", "text_hash", "own")
     m, n = F.size("own"), F.size("template")
     pairs = own.join(F.broadcast(frame), (m >= n * least) & (m <= n * most))  # the size bounds; one row a template
     dice = 2 * F.size(F.array_intersect("own", "template")) / (m + n)

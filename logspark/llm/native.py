@@ -11,6 +11,15 @@ from pyspark.sql import functions as F
 STEP = 256
 
 
+def fixed(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is worked out once.
+
+    A plain column would be put into later filters in place of its name, and there worked out again for every
+    element of every lambda that mentions it. What a generator returns is not.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def running_sum(column: str) -> Column:
     """Inclusive prefix sums of an array of longs, over blocks: no quadratic copying of long arrays."""
     values, n, zero = F.col(column), F.size(column), F.lit(0).cast("long")
@@ -50,14 +59,14 @@ def with_matches(df: DataFrame, text: str, pattern: str, out: str, having: Colum
     p, n, e = (f"_{x}{uuid.uuid4().hex[:8]}" for x in "pne")
     plain = F.translate(F.col(text), mark, other)
     has = F.col(text).rlike(pattern) if having is None else having & F.col(text).rlike(pattern)
-    df = df.withColumn(p, F.when(has, F.split(F.regexp_replace(plain, pattern, f"{mark}$0{mark}"), mark, -1)).otherwise(F.array().cast("array<string>")))
-    df = df.withColumn(n, F.transform(p, lambda x: F.char_length(x).cast("long")))
-    df = df.withColumn(e, running_sum(n))
+    df = fixed(df, p, F.when(has, F.split(F.regexp_replace(plain, pattern, f"{mark}$0{mark}"), mark, -1)).otherwise(F.array().cast("array<string>")))
+    df = fixed(df, n, F.transform(p, lambda x: F.char_length(x).cast("long")))
+    df = fixed(df, e, running_sum(n))
     found = F.transform(
         F.sequence(F.lit(1), F.size(p) - 1, F.lit(2)),
         lambda i: F.struct((F.get(e, i) - F.get(n, i)).alias("start"), F.get(e, i).alias("end"), F.get(p, i).alias("match")),
     )
-    return df.withColumn(out, F.when(F.size(p) > 1, found).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,match:string>>"))).drop(p, n, e)
+    return fixed(df, out, F.when(F.size(p) > 1, found).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,match:string>>"))).drop(p, n, e)
 
 #: Blanks that part words: space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\f\r"
