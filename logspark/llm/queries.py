@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, licenses, prefixes, quality, secrets, simhash, sstable
+from . import bpe, chat, decontaminate, licenses, prefixes, quality, secrets, simhash, sstable, substrings
 from .common import materialize, new_path, read_table, text_or_empty
 
 
@@ -60,6 +60,11 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_in_component")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.remove_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "benchmark"))
 
@@ -138,7 +143,8 @@ def _op10_sql() -> str:
     docs as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
     segments as (
       select r, unnest(string_split(text, chr(10))) as x from docs
-      union select r, unnest(string_split(regexp_replace(text, '([.!?;])[ 	-]+', '' || chr(10), 'g'), chr(10))) from docs
+      union select r, unnest(string_split(regexp_replace(text, '([.!?;])[ 	-
+]+', '' || chr(10), 'g'), chr(10))) from docs
       union select r, text from docs),
     words as (select r, list_filter(string_split(trim(regexp_replace(lower(x), '[^\pL\pN]+', ' ', 'g')), ' '), lambda y: y <> '') as w from segments),
     grams as (
@@ -157,7 +163,7 @@ def _op10_sql() -> str:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat_format, op2_simhash_near_dedup, op4_decontaminate, op5_byte_bpe, op6_secret_scan, op7_prefix_fingerprint, op8_quality_bayes, op9_token_sstable, op10_license_scan)}
+    return {f.__name__: f for f in (op1_chat_format, op2_simhash_near_dedup, op3_substring_dedup, op4_decontaminate, op5_byte_bpe, op6_secret_scan, op7_prefix_fingerprint, op8_quality_bayes, op9_token_sstable, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
