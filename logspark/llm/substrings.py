@@ -35,7 +35,7 @@ from .common import materialize, ship_package
 
 WINDOW, GRAM, HOT = 20, 6, 50_000
 #: Words of a shard, about.
-SHARD = 2_000_000
+SHARD = 500_000
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -236,8 +236,14 @@ def _regions(held: DataFrame, window: int, gram: int, hot: bool) -> DataFrame:
                             out.append((int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), key, mark, w))
                     else:
                         out.append((int(grams[of[s]].view(np.int64)), key, mark, s, b" ".join(words[s : e + window - 1])))
+                if len(out) > 20_000:
+                    yield packed(out)
+                    out = []
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if isinstance(c[0], bytes) else pa.int64()) for c in zip(*out, strict=True)], names)
+                yield packed(out)
+
+    def packed(out):
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if isinstance(c[0], bytes) else pa.int64()) for c in zip(*out, strict=True)], names)
 
     names = ["h", "h2", "key", "mark", "begin"] if hot else ["h", "key", "mark", "begin", "words"]
     schema = ", ".join(f"{n} {'binary' if n == 'words' else 'long'}" for n in names)
