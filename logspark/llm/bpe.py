@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import ship_package
-from .pieces import encode_column, gather
+from .pieces import encode_column, gather, portions
 
 NONE = np.int64(1) << 40
 
@@ -153,7 +153,7 @@ class MergeReplay:
 class Coder:
     """Encodes and decodes texts; keep: the most pieces and words that are remembered."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, keep: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, keep: int = 250_000):
         self.replay = MergeReplay(ranks)
         self.find = regex.compile(pattern).findall
         self.keep = keep
@@ -237,7 +237,7 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, column: str
 
     def run(batches):
         own = coder(shared.value, pattern)
-        for batch in batches:
+        for batch in portions(batches):
             codes = own.encode(batch.column(at))
             arrays = [*batch.columns, codes.cast(pa.binary())]
             if decoded:
@@ -259,7 +259,7 @@ def decode_ids(frame: DataFrame, rank_file: str, pattern: str, ids: str = "token
 
     def run(batches):
         own = coder(shared.value, pattern)
-        for batch in batches:
+        for batch in portions(batches):
             column = batch.column(at)
             found = own.decode(pc.fill_null(column, b"")).to_pylist()
             texts = [None if x is None else x.decode("utf-8", "replace") for x in found]

@@ -9,6 +9,18 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 
+#: Texts worked on at once: bounds what a worker holds beside the batch it was sent.
+ROWS = 1536
+
+
+def portions(batches):
+    """Batches in smaller portions; what the last one took is given back to the system."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+            pa.default_memory_pool().release_unused()
+
+
 def gather(values: pa.LargeBinaryArray, picks: pa.Array | np.ndarray, ends: np.ndarray) -> pa.LargeBinaryArray:
     """Joins values[picks], row i of the result being those from ends[i] to ends[i + 1]."""
     if not len(values) or not len(picks):

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import new_path, partitions_for, ship_package, split_points
-from .pieces import encode_column
+from .pieces import encode_column, portions
 
 MAGIC = b"LSST0001"
 FOOTER = struct.Struct("<QIQIQQI8s")  # index at, size; filter at, size; rows, ids, crc of index and filter, magic
@@ -47,7 +47,7 @@ class WordIds:
     than lower their letters; all others are encoded by the whole tokenizer.
     """
 
-    def __init__(self, data: bytes, keep: int = 300_000):
+    def __init__(self, data: bytes, keep: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(data.decode("utf-8"))
@@ -288,7 +288,7 @@ def write_shards(docs: DataFrame, tokenizer_file: str, folder: str | None = None
 
     def encode(batches):
         own = word_ids(shared.value)
-        for batch in batches:
+        for batch in portions(batches):
             codes = [c + end for c in own.encode(batch.column(1)).to_pylist()]
             ids = batch.column(0)
             shard = np.searchsorted(lows, ids.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), side="left")
