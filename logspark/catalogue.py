@@ -156,7 +156,7 @@ LINE_QUERIES: dict[str, tuple[Callable[[DataFrame], LogLines], str, str, str]] =
         "w string, n bigint",
         "select strftime(to_timestamp(floor(epoch(ts) / 86400) * 86400) at time zone 'UTC', '%Y-%m-%dT%H:%M:%SZ') as w, count(*) as n from events where event_type <> 'view' group by 1",
     ),
-    "lines_json_star": (as_json_lines, "select * where value > 400", "event_id bigint, ts string, level string, value double, user string, k bigint", "select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') as ts, event_type as level, value, '{\"id\":' || user_id || '}' as user, cast(json_extract(props, '$.k') as bigint) as k from events where value > 400"),
+    "lines_json_star": (as_json_lines, "select * where event_id < 100", "event_id bigint, ts string, level string, value double, user string, k bigint", "select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') as ts, event_type as level, value, '{\"id\":' || user_id || '}' as user, cast(json_extract(props, '$.k') as bigint) as k from events where event_id < 100"),
     "lines_json_top": (as_json_lines, "select event_id, value order by value desc limit 10", "event_id bigint, value double", "select event_id, value from events order by value desc nulls last, event_id limit 10"),
     "lines_logfmt": (as_logfmt, "select event_id, msg, value where value > 100 and not failed", "event_id bigint, msg string, value double", "select event_id, 'a \"' || event_type || '\" event' as msg, value from events where value > 100 and event_type <> 'error'"),
     "lines_logfmt_group": (as_logfmt, "select level, failed, count(*) as n, first(user_id) as f, last(user_id) as l group by level, failed", "level string, failed boolean, n bigint, f bigint, l bigint", "select event_type as level, case when event_type = 'error' then true end as failed, count(*) as n, arg_min(user_id, event_id) as f, arg_max(user_id, event_id) as l from events group by 1, 2"),

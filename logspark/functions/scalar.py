@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .values import Cell, epoch, finite, kind_of, missing, num, part, strict, time_text, trimmed, txt
+from .values import Cell, epoch, finite, kind_of, let, missing, num, part, strict, time_text, trimmed, txt
 
 
 def _text(col: Column) -> Cell:
@@ -41,15 +41,16 @@ def _len(v: Cell) -> Cell:
 def _substr(v: Cell, start: Cell, count: Cell | None = None) -> Cell:
     text, size = txt(v), F.char_length(txt(v))
     s = _toward_zero(num(start))
-    begin = F.when(s < 0, F.greatest(size + s, F.lit(0))).otherwise(F.least(s, size))
-    taken = size - begin if count is None else F.greatest(F.least(_toward_zero(num(count)), size - begin), F.lit(0))
+    begin = F.when(s < 0, F.greatest(size + s, F.lit(0))).when(s >= 0, F.least(s, size))
+    wanted = None if count is None else _toward_zero(num(count))
+    taken = size - begin if count is None else F.when(wanted.isNotNull(), F.greatest(F.least(wanted, size - begin), F.lit(0)))
     return _text(F.substring(text, (begin + 1).cast("int"), taken.cast("int")))
 
 
 def _toward_zero(x: Column) -> Column:
     """Truncated, and kept within what a text can be long."""
     whole = F.when(x < 0, F.ceil(x)).otherwise(F.floor(x))
-    return F.greatest(F.least(whole, F.lit(2**31 - 1)), F.lit(-(2**31 - 1))).cast("bigint")
+    return F.when(x.isNotNull(), F.greatest(F.least(whole, F.lit(2**31 - 1)), F.lit(-(2**31 - 1)))).cast("bigint")
 
 
 def _replace(v: Cell, old: Cell, new: Cell) -> Cell:
@@ -92,7 +93,8 @@ def _round(v: Cell, places: Cell | None = None) -> Cell:
     x = num(v)
     if places is None:
         return _number(finite(F.round(x, 0)))
-    p = F.least(F.greatest(_toward_zero(num(places)), F.lit(0)), F.lit(15)).cast("double")
+    wanted = _toward_zero(num(places))
+    p = F.when(wanted.isNotNull(), F.least(F.greatest(wanted, F.lit(0)), F.lit(15))).cast("double")
     scale = F.pow(F.lit(10.0), p)
     return _number(finite(F.round(x * scale, 0) / scale))
 
@@ -132,7 +134,7 @@ def _fixed_offset(name: str) -> int | None:
 def _format_time(v: Cell, zone: Cell | None = None) -> Cell:
     seconds = epoch(v)
     if zone is None:
-        return _text(time_text(seconds))
+        return _text(let(seconds, time_text) if v.kind in ("dyn", "str") else time_text(seconds))
     name = F.lower(trimmed(txt(zone)))
     shape = r"^([+-])([0-9]{2}):?([0-9]{2})?$"
     hours, rest = F.regexp_extract(name, shape, 2).try_cast("int"), F.coalesce(F.regexp_extract(name, shape, 3).try_cast("int"), F.lit(0))
@@ -142,7 +144,7 @@ def _format_time(v: Cell, zone: Cell | None = None) -> Cell:
         .when(name == "local", _fixed_offset("local"))
         .when(name.rlike(shape) & (hours <= 23) & (rest <= 59), sign * (hours * 60 + rest))
     )
-    return _text(F.when(minutes.isNotNull(), time_text(seconds, minutes)))
+    return _text(let(F.struct(seconds.alias("s"), minutes.alias("m")), lambda x: F.when(x["m"].isNotNull(), time_text(x["s"], x["m"]))))
 
 
 def _bucket(v: Cell, width: Cell) -> Cell:

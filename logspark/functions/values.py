@@ -76,16 +76,21 @@ def number_text(x: Column) -> Column:
 
 # --- dyn -------------------------------------------------------------------------------------------
 
-_KINDS = (("STRING", "str"), ("BOOLEAN", "bool"), ("VOID", "null"))
+_KINDS = (
+    ("STRING", "str"), ("BIGINT", "num"), ("DECIMAL", "num"), ("DOUBLE", "num"), ("BOOLEAN", "bool"), ("OBJECT", "object"), ("ARRAY", "array"),
+    ("VOID", "null"), ("FLOAT", "num"), ("INT", "num"), ("SMALLINT", "num"), ("TINYINT", "num"),
+)
+
+
+def let(x: Column, body) -> Column:
+    """body(x) with x worked out once, however often body mentions it."""
+    return F.get(F.transform(F.array(x), body), F.lit(0))
 
 
 def kind_of(v: Column) -> Column:
     """The kind of a variant as text; NULL for missing."""
-    s = F.schema_of_variant(v)
-    out = F.when(s.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT|INT|SMALLINT|TINYINT)"), "num")
-    for spelled, kind in _KINDS:
-        out = out.when(s == spelled, kind)
-    return out.when(s.startswith("ARRAY"), "array").when(s.startswith("OBJECT"), "object")
+    names = F.create_map(*[F.lit(y) for pair in _KINDS for y in pair])
+    return F.try_element_at(names, F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0))
 
 
 def part(v: Column, kind: str) -> Column:
@@ -125,19 +130,21 @@ def txt(c: Cell) -> Column:
     if c.kind == "time":
         return time_text(epoch(c))
     if c.kind == "dyn":
-        s = F.schema_of_variant(c.col)
-        raw = F.to_json(c.col)
-        number = F.try_variant_get(c.col, "$", "double")
-        spelled = (
-            F.when(s == "BIGINT", raw)
-            .when((number == F.floor(number)) & (F.abs(number) < 1e16), F.concat(number.cast("decimal(38,0)").cast("string"), F.lit(".0")))
-            .otherwise(number_text(number))
-        )
-        k = kind_of(c.col)
-        return F.when(k == "str", F.try_variant_get(c.col, "$", "string")).when(k == "num", spelled).when(k == "bool", raw)
+        return let(c.col, _variant_text)
     return F.lit(None).cast("string")
 
 
+def _variant_text(v: Column) -> Column:
+    s, raw, number = F.schema_of_variant(v), F.to_json(v), F.try_variant_get(v, "$", "double")
+    spelled = (
+        F.when(s == "BIGINT", raw)
+        .when((number == F.floor(number)) & (F.abs(number) < 1e16), F.concat(number.cast("decimal(38,0)").cast("string"), F.lit(".0")))
+        .otherwise(number_text(number))
+    )
+    k = kind_of(v)
+    return F.when(k == "str", F.try_variant_get(v, "$", "string")).when(k == "num", spelled).when(k == "bool", raw)
+
+
 def _num_of_text(text: Column) -> Column:
     t = trimmed(text)
     return F.coalesce(strict(t), strict(F.regexp_extract(t, r"^[0-9.+-]*", 0)))
@@ -154,7 +161,7 @@ def num(c: Cell) -> Column:
     if c.kind == "time":
         return epoch(c)
     if c.kind == "dyn":
-        return F.coalesce(part(c.col, "num"), part(c.col, "bool").cast("int").cast("double"), _num_of_text(part(c.col, "str")))
+        return let(c.col, lambda v: F.coalesce(part(v, "num"), part(v, "bool").cast("int").cast("double"), let(part(v, "str"), _num_of_text)))
     return F.lit(None).cast("double")
 
 
@@ -174,12 +181,16 @@ _DATE = r"^([0-9]{4})-([0-9]{2})-([0-9]{2})(?:[Tt ]([0-9]{2}):([0-9]{2})(?::([0-
 
 def epoch_of_text(text: Column) -> Column:
     """Seconds since 1970 of an RFC 3339 text; a day of the month beyond the month's end rolls over."""
-    t = trimmed(text)
+    return let(trimmed(text), _epoch_of_trimmed)
+
+
+def _epoch_of_trimmed(t: Column) -> Column:
     part_of = lambda i: F.regexp_extract(t, _DATE, i)
     whole = lambda i: F.when(part_of(i) == "", 0).otherwise(part_of(i).try_cast("int"))
     year, month, day = part_of(1).try_cast("int"), part_of(2).try_cast("int"), part_of(3).try_cast("int")
     hour, minute, second = whole(4), whole(5), whole(6)
-    first = F.try_make_date(year, month, F.lit(1)) if hasattr(F, "try_make_date") else F.when(month.between(1, 12) & (year >= 1), F.make_date(F.greatest(year, F.lit(1)), F.greatest(F.least(month, F.lit(12)), F.lit(1)), F.lit(1)))
+    inside = month.between(1, 12) & (year >= 1)
+    first = F.when(inside, F.make_date(F.greatest(year, F.lit(1)), F.greatest(F.least(month, F.lit(12)), F.lit(1)), F.lit(1)))
     days = F.datediff(first, F.lit("1970-01-01").cast("date")) + day - 1
     fraction = F.when(part_of(7) == "", 0.0).otherwise(F.concat(F.lit("0."), part_of(7)).try_cast("double"))
     offset = (whole(10) * 60 + whole(11)) * 60 * F.when(part_of(9) == "-", -1).otherwise(1)
@@ -193,16 +204,19 @@ def rescaled(x: Column) -> Column:
     return F.when(F.abs(x) >= 1e11, x / 1000).otherwise(x)
 
 
+def _text_epoch(text: Column) -> Column:
+    return F.coalesce(epoch_of_text(text), rescaled(cmpnum(text)))
+
+
 def epoch(c: Cell) -> Column:
     if c.kind == "time":
         return F.unix_micros(c.col.cast("timestamp")) / F.lit(1e6)
     if c.kind == "num":
         return rescaled(c.col.cast("double"))
     if c.kind == "str":
-        return F.coalesce(epoch_of_text(c.col), rescaled(cmpnum(c.col)))
+        return let(c.col, _text_epoch)
     if c.kind == "dyn":
-        text = part(c.col, "str")
-        return F.coalesce(rescaled(part(c.col, "num")), epoch_of_text(text), rescaled(cmpnum(text)))
+        return let(c.col, lambda v: F.coalesce(rescaled(part(v, "num")), let(part(v, "str"), _text_epoch)))
     return F.lit(None).cast("double")
 
 

@@ -23,6 +23,8 @@ _OPS = {
     ">=": lambda x, y: x >= y,
 }
 DYN_KINDS = ("str", "num", "bool", "null", "array", "object")
+#: What kinds of a dyn value can be compared with a value of a known kind.
+COMPARABLE = {"num": ("num", "str", "bool"), "str": ("str", "num", "bool"), "bool": ("bool", "num", "str"), "null": ("null",), "array": ("array",), "object": ("object",), "time": ("num", "str")}
 
 
 def _pair(op: str, a: Cell, b: Cell, x: Column | None, y: Column | None) -> Column:
@@ -39,9 +41,7 @@ def compare(op: str, a: Cell, b: Cell) -> Column:
     if "missing" in (a.kind, b.kind):
         return F.lit(False)
     if a.kind == "dyn":
-        if b.kind == "dyn" or b.kind in ("array", "object"):
-            return _by_kind(op, a, DYN_KINDS, b)
-        return _by_kind(op, a, ("str", "num", "bool", "null", "array", "object"), b)
+        return _by_kind(op, a, COMPARABLE.get(b.kind, DYN_KINDS), b)
     if b.kind == "dyn":
         flipped = {"<": ">", "<=": ">=", ">": "<", ">=": "<="}.get(op, op)
         return compare(flipped, b, a)
@@ -83,7 +83,7 @@ def _by_kind(op: str, a: Cell, kinds: tuple[str, ...], b: Cell) -> Column:
     out = F.when(*whens[0])
     for w in whens[1:]:
         out = out.when(*w)
-    return out
+    return out.otherwise(a.present & b.present) if op == "!=" else out
 
 
 def truthy(c: Cell) -> Column:
@@ -139,7 +139,7 @@ def _match_parts(text: Column, parts: list[str]) -> Column:
         tests = ([text.startswith(head)] if head else []) + ([text.endswith(tail)] if tail else [])
         if head and tail:
             tests.append(F.char_length(text) >= len(head) + len(tail))
-        return reduce(lambda x, y: x & y, tests) if tests else text.isNotNull()
+        return reduce(lambda x, y: x & y, tests) if tests else F.when(text.isNotNull(), True)
     if len(middle) == 1 and not head and not tail:
         return text.contains(middle[0])
     escaped = lambda s: s.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")

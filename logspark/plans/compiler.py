@@ -140,11 +140,11 @@ class Compiler:
     def compile(self, df: DataFrame, record: str | None, columns: Callable[[DataFrame], list[str]] | None, ordered: bool) -> DataFrame:
         q = self.query
         scope = Scope(df.schema, record)
-        if self._needs_order(ordered) and SEQ not in df.columns:
-            df = df.withColumn(SEQ, F.monotonically_increasing_id())
-        scope.schema = T.StructType([f for f in df.schema.fields if f.name != SEQ])
         if q.where is not None:
             df = df.where(self.condition(q.where, scope))
+        # Numbered after the filter, which keeps the order and would not be pushed below the numbering.
+        if self._needs_order(ordered):
+            df = df.withColumn(SEQ, F.monotonically_increasing_id())
         if q.grouped:
             df, scope = self._group(df, scope)
             if q.having is not None:
@@ -213,8 +213,9 @@ class Compiler:
     def _order_keys(self, out: list[tuple[str, Cell]], scope: Scope) -> list[Column]:
         q = self.query
         text = N.render(q.order)
-        found = [c for n, c in out if n == text]
-        if (flat := scope.flat(text)) is not None:
+        # A label that is the very field of that name needs no second look.
+        found = [c for n, c in out if n == text and not (q.items is None or any(i.value == q.order and i.label == n for i in q.items))]
+        if "." in text and (flat := scope.flat(text)) is not None or not isinstance(q.order, N.Field) and (flat := scope.flat(text)) is not None:
             found.append(flat)
         found.append(self.value(q.order, scope))
         found = [c for c in found if c.kind != "missing"] or [missing()]
