@@ -168,8 +168,20 @@ class ShardIndex:
 
 def repeated_in_shard(docs: np.ndarray, begins: np.ndarray, texts: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """docs: order of each region's document; begins: its first word's place; -> (region, offset) of repeated windows."""
-    words = [t.split(b" ") for t in texts]
+    # Of regions with one text, the earliest is indexed for all; in the others every window is repeated.
+    where = docs << 36 | begins
+    by_text: dict[bytes, int] = {}
+    for i, t in enumerate(texts):
+        if t not in by_text or where[i] < where[by_text[t]]:
+            by_text[t] = i
+    kept = np.fromiter(by_text.values(), dtype=np.int64, count=len(by_text))
+    words = [t.split(b" ") for t in by_text]
     sizes = np.array([len(w) for w in words], np.int64)
+    first = np.fromiter((by_text[t] for t in texts), dtype=np.int64, count=len(texts))
+    size_of = dict(zip(kept.tolist(), sizes.tolist(), strict=True))
+    late = np.flatnonzero(where > where[first])
+    counts = np.fromiter((size_of[i] - window + 1 for i in first[late].tolist()), dtype=np.int64, count=len(late))
+    more = np.repeat(late, counts), np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
     ids = np.unique(word_hashes([x for w in words for x in w]), return_inverse=True)[1].astype(np.int64) + 1
     starts = np.cumsum(sizes + 1) - sizes - 1
     region = np.repeat(np.arange(len(sizes)), sizes)
@@ -177,12 +189,11 @@ def repeated_in_shard(docs: np.ndarray, begins: np.ndarray, texts: list[bytes],
     text = np.zeros(int((sizes + 1).sum()), np.int64)
     text[starts[region] + offset] = ids
     order = np.full(len(text), np.iinfo(np.int64).max)
-    order[starts[region] + offset] = (docs[region] << 36) + begins[region] + offset
-    index = ShardIndex(text, order, window)
-    place, first = index.statistics(text, starts, sizes)
-    late = place[first < order[place]]
-    own = np.searchsorted(starts, late, side="right") - 1
-    return own, late - starts[own]
+    order[starts[region] + offset] = where[kept][region] + offset
+    place, earliest = ShardIndex(text, order, window).statistics(text, starts, sizes)
+    found = place[earliest < order[place]]
+    own = np.searchsorted(starts, found, side="right") - 1
+    return np.r_[kept[own], more[0]], np.r_[found - starts[own], more[1]]
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -255,6 +266,7 @@ def _search(regions: DataFrame, window: int, shard: int) -> DataFrame:
 
     def run(batches):
         held: list[tuple] = []
+        seen: set[bytes] = set()
         size = now = 0
 
         def work():
@@ -279,10 +291,12 @@ def _search(regions: DataFrame, window: int, shard: int) -> DataFrame:
                 if size > shard and row[0] != now:
                     if (got := work()) is not None:
                         yield got
-                    held, size = [], 0
+                    held, seen, size = [], set(), 0
                 now = row[0]
                 held.append(row)
-                size += row[4].count(b" ") + 2
+                # Repeats of one region are not indexed again, but each row is held till the cut.
+                size += 4 if row[4] in seen else row[4].count(b" ") + 2
+                seen.add(row[4])
         if held and (got := work()) is not None:
             yield got
 
