@@ -1,7 +1,9 @@
 """Quality classifier with hierarchical empirical Bayes.
 
 A logistic regression over signs of style and over words that mark rejected documents gives each document's own
-evidence. Its mean by host and by path below a host, shrunk, gives sites' posteriors: a path towards its host,
+evidence. Marker words are graded by the lower bound of their log odds, which does not depend on how many labels
+there are; the regression sees a document's words graded by the other PARTS of the labels only, so it learns what
+they are worth on texts that they were not chosen from. Its mean by host and by path below a host, shrunk, gives sites' posteriors: a path towards its host,
 a host towards the global rate, by prior strengths that are estimated from the sites themselves (method of
 moments). By Bayes' rule a document's log odds move by its site's log odds less the global ones.
 
@@ -28,7 +30,9 @@ from pyspark.sql import functions as F
 from .common import materialize, ship_package
 
 #: The most labelled documents that the model is fitted on, and the most words that it knows.
-SAMPLE, WORDS = 20_000, 2_000
+SAMPLE, WORDS = 20_000, 50_000
+#: A word marks rejects if it is in LEAST of them or more and its log odds, less SURE standard errors, are over OVER.
+LEAST, SURE, OVER, PARTS = 3, 1.64, 0.5, 3
 
 _SYMBOLS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in ".,'\"-:;()?")
 _STOPS = b".,'\"-:;()?"
@@ -67,11 +71,12 @@ class Model:
     scale: np.ndarray = field(default_factory=lambda: np.ones(N_SIGNS + 2))
     weights: np.ndarray | None = None  # the constant last
 
-    def features(self, texts: list[str]) -> np.ndarray:
+    def features(self, texts: list[str], words: list[dict[bytes, float]] | None = None) -> np.ndarray:
+        """words: the graded words for each text, if they are not the model's."""
         out = np.empty((len(texts), N_SIGNS + 2))
-        known = self.words.keys()
         for i, t in enumerate(texts):
-            hits = [self.words[w] for w in known & plain_words(t)] if known else []
+            known = words[i] if words else self.words
+            hits = sorted(known[w] for w in known.keys() & plain_words(t)) if known else []
             out[i] = [*signs(t), min(10.0, sum(hits)), max(hits, default=0.0)]
         return out
 
@@ -93,34 +98,48 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     known, _ = materialize(
         docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id"), "labelled"
     )
-    total = known.groupBy("good").count().collect()
-    n = {r.good: r["count"] for r in total}
+    # Copies of a text fall into the same part.
+    known = known.withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "text"), F.lit(PARTS)).cast("int"))
+    total = known.groupBy("part", "good").count().collect()
+    n = {g: np.array([sum(r["count"] for r in total if r.good == g and r.part != k) for k in range(PARTS + 1)]) for g in (0, 1)}  # the last: all parts
     model = Model()
-    if not n.get(0) or not n.get(1):
+    if not n[0][-1] or not n[1][-1]:
         return model
 
     def own_words(batches):
         for batch in batches:
             words = [list(plain_words(t)) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.binary())), batch.column(1)], ["words", "good"])
-
-    by_word = known.select("text", "good").mapInArrow(own_words, "words array<binary>, good int").select(F.explode("words").alias("word"), "good")
-    counts = by_word.groupBy("word").agg(F.sum(1 - F.col("good")).alias("bad"), F.sum("good").alias("fine"))
-    # Words that are commoner in rejected documents, by a chi-squared statistic; as many as WORDS of the strongest.
-    share = n[0] / (n[0] + n[1])
-    expected = (F.col("bad") + F.col("fine")) * share
-    strong = counts.withColumn("chi", (F.col("bad") - expected) ** 2 / (expected * (1 - share))).where((F.col("bad") > expected) & (F.col("bad") >= 5) & (F.col("chi") > 60))
-    for r in strong.orderBy(F.desc("chi"), "word").limit(WORDS).collect():
-        weight = math.log((r.bad + 0.5) / (n[0] + 1)) - math.log((r.fine + 0.5) / (n[1] + 1))
-        if weight > 2:
-            model.words[bytes(r.word)] = weight
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.binary())), batch.column(1), batch.column(2)], ["words", "good", "part"])
+
+    by_word = known.select("text", "good", "part").mapInArrow(own_words, "words array<binary>, good int, part int")
+    by_word = by_word.select(F.explode("words").alias("word"), "good", "part")
+
+    def count(good: int, k: int) -> Column:
+        return F.count(F.when((F.col("good") == good) & (F.col("part") != k), 1))
+
+    def bound(k: int) -> Column:
+        """The lower bound of a word's log odds, counted without part k; null if it marks nothing."""
+        bad, fine = F.col(f"bad{k}") + 0.5, F.col(f"fine{k}") + 0.5
+        least = F.log(bad / float(n[0][k] + 1)) - F.log(fine / float(n[1][k] + 1)) - SURE * F.sqrt(1 / bad + 1 / fine)
+        return F.when((F.col(f"bad{k}") >= LEAST) & (least > OVER), least)
+
+    tables = range(PARTS + 1)
+    counts = by_word.groupBy("word").agg(*[count(0, k).alias(f"bad{k}") for k in tables], *[count(1, k).alias(f"fine{k}") for k in tables])
+    strong = counts.where(F.col(f"bad{PARTS}") >= LEAST).select("word", *[bound(k).alias(f"v{k}") for k in tables])
+    strong = strong.withColumn("most", F.greatest(*[F.col(f"v{k}") for k in tables])).where("most is not null")
+    graded: list[dict[bytes, float]] = [{} for _ in tables]
+    for r in strong.orderBy(F.desc("most"), "word").limit(WORDS).collect():
+        for k in tables:
+            if r[f"v{k}"] is not None:
+                graded[k][bytes(r.word)] = r[f"v{k}"]
+    model.words = graded.pop()
 
     def rows(batches):
         for batch in batches:
-            x = model.features(batch.column(0).to_pylist())
+            x = model.features(batch.column(0).to_pylist(), [graded[k] for k in batch.column(2).to_pylist()])
             yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column(1)], ["x", "good"])
 
-    got = known.select("text", "good").mapInArrow(rows, "x array<double>, good int").collect()
+    got = known.select("text", "good", "part").mapInArrow(rows, "x array<double>, good int").collect()
     x, y = np.array([r.x for r in got]), np.array([r.good for r in got], dtype=float)
     order = np.lexsort(x.T)  # the same model, however rows arrive
     x, y = x[order], y[order]

@@ -230,6 +230,18 @@ def test_quality(spark, none):
     assert quality.classify(none.select("doc_id", "text", "source", "lang"), known).count() == 0
 
 
+def test_quality_weak_markers(spark):
+    rng = random.Random(3)
+    # Each marker is in about 8 of 80 rejects and in no good document, a chi-squared of 32; nothing else tells them apart.
+    markers = [a + b for a in ("réeux", "achlich") for b in ("ment", "ou", "pa", "ch", "an", "vi", "le", "on", "que", "elle")]
+    rows = [(i, " ".join([*rng.choices(WORDS, k=60), *(rng.sample(markers, 2) if i % 5 == 0 else rng.choices(WORDS, k=2))]), f"s{i % 3}", "fr") for i in range(600)]
+    labels = [(i, 1, int(i % 5 == 0)) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    out = quality.classify(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).where("doc_id >= 400").collect()
+    toxic, good = [r.keep for r in out if r.doc_id % 5 == 0], [r.keep for r in out if r.doc_id % 5]
+    assert sum(toxic) <= 0.1 * len(toxic) and sum(good) >= 0.97 * len(good)
+
+
 def test_token_shards(spark, docs, none, tmp_path):
     from tokenizers import Tokenizer, models, normalizers, pre_tokenizers
     from tokenizers import Regex
