@@ -139,3 +139,16 @@ def test_follow(spark, tmp_path):
     finally:
         stream.stop()
     assert got == ["1", "3", "4"]
+
+
+def test_many_files_keep_their_order(spark, tmp_path):
+    from logspark.engine import query
+    from logspark.sources.lines import from_files
+
+    paths = []
+    for i in range(70):
+        path = tmp_path / f"{(i * 37) % 70:02d}.log"
+        path.write_text("".join(f"n={i} pad={'x' * (100 * (i % 7))}\n" for _ in range(1 + i % 3)))
+        paths.append(str(path))
+    got = [r[0] for r in query("select n", from_files(spark, paths), ordered=True).collect()]
+    assert [x.toPython() for x in got] == [i for i in range(70) for _ in range(1 + i % 3)]
