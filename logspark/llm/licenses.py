@@ -23,6 +23,8 @@ from .common import materialize
 from .native import fixed, numbered
 
 SIMILARITY = 0.8
+#: The most lines that are taken together as one segment, beside sentences.
+RUN = 3
 #: Public notices, by SPDX identifier; some have several wordings.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -57,11 +59,19 @@ def _bigrams(words: str) -> Column:
 
 
 def segments(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, segment): distinct normalised lines, sentences and whole of each text."""
+    """(doc_id, text_hash, segment): distinct lines, runs of up to RUN lines, sentences and whole of each text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    lines = F.split(text, "\n", -1)
-    sentences = F.split(F.regexp_replace(text, r"([.!?;])[\x20\x09-\x0D]+", "$1\n"), "\n", -1)
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.explode(F.array(F.concat(lines, sentences, F.array(text)))).alias("all"))
+    keyed = fixed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("_t")), "_lines", F.split("_t", "\n", -1))
+    text = F.col("_t")
+    sentences, unwrapped = (
+        F.split(F.regexp_replace(x, r"([.!?;])[\x20\x09-\x0D]+", "$1\n"), "\n", -1) for x in (text, F.translate(text, "\n", " "))
+    )
+
+    def runs(k: int) -> Column:
+        none = F.array().cast("array<string>")
+        return F.when(F.size("_lines") >= k, F.transform(F.sequence(F.lit(1), F.size("_lines") - k + 1), lambda i: F.array_join(F.slice("_lines", i, F.lit(k)), " "))).otherwise(none)
+
+    keyed = keyed.select("doc_id", "text_hash", F.explode(F.array(F.concat("_lines", *[runs(k) for k in range(2, RUN + 1)], sentences, unwrapped, F.array(text)))).alias("all"))
     return keyed.select("doc_id", "text_hash", F.explode(F.array_distinct("all")).alias("segment"))
 
 

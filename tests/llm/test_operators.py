@@ -278,3 +278,11 @@ def test_licenses(spark, docs, none):
     assert [got[i].n_licenses for i in (3, 4, 5, 6)] == [0, 0, 0, 0]
     assert licenses.report(docs).count() == docs.count() and licenses.report(none).count() == 0
     assert json.dumps(licenses.bigrams(["a"])) == '["a"]'
+
+
+def test_wrapped_licenses(spark):
+    body = prose(200, random.Random(8))
+    wrapped = ["Use of this source code is governed by a BSD-style\n# license that can be found in the LICENSE file.", "This work is licensed under the GNU General\nPublic License, version 3.", "Subject\n\nThis Source Code Form is subject to the terms of the\n * Mozilla Public License, v. 2.0."]
+    df = spark.createDataFrame([(i, f"{body}\n\n# {w}\n{body}") for i, w in enumerate(wrapped)], "doc_id long, text string")
+    got = {r.doc_id: (r.best, r.dice) for r in licenses.report(df).collect()}
+    assert got == {0: ("BSD-3-Clause", 1.0), 1: ("GPL-3.0", 1.0), 2: ("MPL-2.0", 1.0)}
