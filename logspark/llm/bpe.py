@@ -167,7 +167,7 @@ class Coder:
         plain = [p for p in pieces if p[:1] == " " and len(p.split()) == 1 and not p[-1].isspace() and not p[1].isspace()]
         other = list(pieces.difference(plain))
         words = self.find("".join(plain))
-        starts = [i for i, w in enumerate(words) if w[0] == " "]
+        bounds = [*(i for i, w in enumerate(words) if w[0] == " "), len(words)]
         found = [self.find(p) for p in other]
         all_words = set(words)
         for ws in found:
@@ -177,7 +177,7 @@ class Coder:
         for w in all_words.difference(codes):
             codes[w] = self.words[w]
         of_word = [codes[w] for w in words]
-        out = {p: b"".join(of_word[i:j]) for p, i, j in zip(plain, starts, [*starts[1:], len(words)], strict=True)}
+        out = {p: b"".join(of_word[i:j]) for p, i, j in zip(plain, bounds[:-1], bounds[1:], strict=True)}
         out.update((p, b"".join([codes[w] for w in ws])) for p, ws in zip(other, found, strict=True))
         if len(self.words) < self.keep:
             self.words.update((w, codes[w]) for w in new if len(w) <= 40)
@@ -192,7 +192,7 @@ class Coder:
         return [known[p] if p in known else codes[p] for p in pieces]
 
     def whole(self, text: str) -> bytes:
-        return b"".join(self.replay.encode([w.encode("utf-8") for w in self.find(text)]))
+        return b"".join(self.replay.encode([w.encode("utf-8", "surrogatepass") for w in self.find(text)]))
 
     def encode(self, texts) -> pa.LargeBinaryArray:
         """texts: a list or an Arrow array; gives the ids of each as little-endian unsigned 32-bit integers."""

@@ -145,6 +145,21 @@ def test_decontaminate(spark, docs, none):
     assert clean.columns == docs.columns and {11, 12}.isdisjoint(r.doc_id for r in clean.collect()) and clean.where("doc_id is null").count() == 1
 
 
+def test_byte_bpe_few_pieces():
+    tiktoken = pytest.importorskip("tiktoken")
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    with open(path, "rb") as f:
+        ranks = bpe.read_ranks(f.read())
+    truth = tiktoken.Encoding("x", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    warm = bpe.Coder(ranks, public_tokenizers.PATTERN)
+    tables = [[None], [""], ["hello"], ["hello world"], ["hello world"] * 4000, [" "], ["a  b", " lead", "trail ", "\n\n x"], [" world"], ["one\0two words"], []]
+    for texts in [*tables, *tables]:
+        for coder in (bpe.Coder(ranks, public_tokenizers.PATTERN), warm):
+            got = [np.frombuffer(x, "<u4").tolist() for x in coder.encode(texts).to_pylist()]
+            assert got == [truth.encode_ordinary(t or "") for t in texts]
+
+
 def test_byte_bpe(docs, none, tmp_path):
     import tiktoken
 
