@@ -46,6 +46,17 @@ def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def bucketed(df: DataFrame, column: str, n: int, name: str) -> DataFrame:
+    """Writes df as a table in the shared folder, in n buckets of a column, and reads it back.
+
+    Grouping or joining it by that column sends other rows to its buckets and never moves its own.
+    """
+    spark = df.sparkSession
+    table = f"logspark_{name}_{uuid.uuid4().hex}"
+    df.write.bucketBy(n, column).option("path", new_path(spark, name)).option("compression", "zstd").format("parquet").saveAsTable(table)
+    return spark.table(table)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)

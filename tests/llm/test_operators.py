@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,6 +115,41 @@ def test_substrings(docs, none, options):
     assert substrings.remove_repeats(none).count() == 0
 
 
+def test_substrings_common_passage(spark):
+    # One anchor in every document, in equal and in differing surroundings, beside periodic texts.
+    rng = random.Random(3)
+    rows = [(i, " ".join([prose(rng.randrange(30), rng), PASSAGE, prose(rng.randrange(30), rng)])) for i in range(60)]
+    rows += [(100 + i, " \n".join([prose(5, rng), *PASSAGE.split()[:12], prose(12, rng)])) for i in range(60)]
+    rows += [(200, "a b c " * 30), (201, "z " * 70), (202, "b c a " * 9), (203, "z " * 19), (204, None)]
+    want = substrings.brute_force(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for options in ({"hot": 7, "shard": 500, "portion": 2000}, {"hot": 7}, {"portion": 9000}):
+        got = {r.doc_id: (r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in substrings.remove_repeats(df, **options).collect()}
+        assert got == want
+
+
+def test_words():
+    texts = [None, "", " ", "a", "", "b\tcd  efghijkl mnopqrstuvwxyz\x0b\x0c", "é\xa0x ", "a b\ncd"]
+    got = substrings.Words(pa.array([t or "" for t in texts], pa.string()).slice(1))
+    own = [(t or "").encode().split() for t in texts[1:]]
+    assert np.diff(got.first).tolist() == [len(w) for w in own]
+    flat = [w for ws in own for w in ws]
+    assert [got.data[a:b].tobytes() for a, b in zip(got.starts, got.stops, strict=True)] == flat
+    assert len(set(got.hashes.tolist())) == len(set(flat)) and len({(h, w) for h, w in zip(got.hashes.tolist(), flat, strict=True)}) == len(set(flat))
+
+
+def test_bits():
+    rng = np.random.default_rng(1)
+    for n, share in ((1000, 0.3), (3000, 0.004)):
+        bits = rng.random(n) < share
+        bits[0] = True
+        own, at = substrings.Bits(bits), rng.integers(0, n, 400)
+        set_ = np.flatnonzero(bits)
+        assert own.ones(at).tolist() == [int(bits[:i].sum()) for i in at]
+        assert own.last(at).tolist() == [int(set_[set_ <= i][-1]) for i in at]
+        assert own.next(at, n).tolist() == [int((set_[set_ > i].tolist() or [n])[0]) for i in at]
+
+
 def test_substrings_repeated_rows(docs):
     out = substrings.remove_repeats(docs).collect()
     assert len(out) == docs.count()
