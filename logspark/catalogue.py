@@ -6,6 +6,7 @@ access-log text) and read them back, so they go through the line sources and dyn
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -135,6 +136,14 @@ def as_logfmt(events: DataFrame) -> LogLines:
     return from_lines(events.select(line.alias("value")))
 
 
+def as_mixed_lines(events: DataFrame) -> LogLines:
+    """Values that are numbers in some lines and texts of equal width that spell numbers in others; keys with quotes."""
+    text = F.lpad(F.col("event_id").cast("string"), 12, "0")
+    value = F.when(F.col("event_type").isin("click", "view"), F.concat(F.lit('"'), text, F.lit('"'))).otherwise(F.col("event_id").cast("string"))
+    line = F.concat(F.lit('{"say \\"hi\\"":'), F.col("event_id"), F.lit(',"what?":"'), F.col("event_type"), F.lit('","v":'), value, F.lit(',"user":'), F.col("user_id"), F.lit("}"))
+    return from_lines(events.select(line.alias("value")))
+
+
 def as_access_log(events: DataFrame) -> LogLines:
     line = F.concat(F.lit("10.0.0."), F.pmod("user_id", F.lit(256)), F.lit(' - - [x] "GET /'), "event_type", F.lit('" '), "event_id", F.lit(" "), F.col("value").cast("string"))
     return from_lines(events.select(line.alias("value")), r'^(?<ip>\S+) \S+ \S+ \[[^\]]*\] "(?<method>[A-Z]+) /(?P<level>\w+)" (?<event_id>\d+) (?<value>\S+)$')
@@ -156,7 +165,10 @@ LINE_QUERIES: dict[str, tuple[Callable[[DataFrame], LogLines], str, str, str]] =
         "w string, n bigint",
         "select strftime(to_timestamp(floor(epoch(ts) / 86400) * 86400) at time zone 'UTC', '%Y-%m-%dT%H:%M:%SZ') as w, count(*) as n from events where event_type <> 'view' group by 1",
     ),
-    "lines_json_star": (as_json_lines, "select * where event_id < 100", "event_id bigint, ts string, level string, value double, user string, k bigint", "select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') as ts, event_type as level, value, '{\"id\":' || user_id || '}' as user, cast(json_extract(props, '$.k') as bigint) as k from events where event_id < 100"),
+    "lines_json_star": (as_json_lines, "select *", "event_id bigint, ts string, level string, value double, user string, k bigint", "select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') as ts, event_type as level, value, '{\"id\":' || user_id || '}' as user, cast(json_extract(props, '$.k') as bigint) as k from events"),
+    "lines_mixed_extremes": (as_mixed_lines, "select user, min(v) as lo, max(v) as hi, count(v) as n group by user", "user bigint, lo bigint, hi bigint, n bigint", "select user_id as user, min(event_id) as lo, max(event_id) as hi, count(*) as n from events group by 1"),
+    "lines_odd_keys": (as_mixed_lines, "select *", "say_hi bigint, what string, v bigint, user bigint", "select event_id as say_hi, event_type as what, event_id as v, user_id as user from events"),
+    "lines_duplicate_label": (as_json_lines, "select lower(level) as x, k as x, event_id", "x bigint, event_id bigint", "select cast(json_extract(props, '$.k') as bigint) as x, event_id from events"),
     "lines_json_top": (as_json_lines, "select event_id, value order by value desc limit 10", "event_id bigint, value double", "select event_id, value from events order by value desc nulls last, event_id limit 10"),
     "lines_logfmt": (as_logfmt, "select event_id, msg, value where value > 100 and not failed", "event_id bigint, msg string, value double", "select event_id, 'a \"' || event_type || '\" event' as msg, value from events where value > 100 and event_type <> 'error'"),
     "lines_logfmt_group": (as_logfmt, "select level, failed, count(*) as n, first(user_id) as f, last(user_id) as l group by level, failed", "level string, failed boolean, n bigint, f bigint, l bigint", "select event_type as level, case when event_type = 'error' then true end as failed, count(*) as n, arg_min(user_id, event_id) as f, arg_max(user_id, event_id) as l from events group by 1, 2"),
@@ -176,8 +188,10 @@ def _line_query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         events = from_parquet(spark, f"{sf_dir}/events.parquet")
         out = query(text, render(events))
+        # Columns whose names SQL would have to quote are renamed.
+        names = [re.sub(r"[^\w.]+", "_", c).strip("_") for c in out.columns]
         wanted = {n.strip("`"): t for n, t in (x.rsplit(" ", 1) for x in types.split(", "))}
-        return out.select(*[_plain(out, c, wanted[c]).alias(c) for c in out.columns])
+        return out.select(*[_plain(out, c, wanted[n]).alias(n) for c, n in zip(out.columns, names, strict=True)])
 
     return run
 

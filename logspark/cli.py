@@ -5,6 +5,8 @@ usage: logspark [-f FORMAT] [-p PATTERN] [-F] [-q] QUERY [FILE...]
 
 from __future__ import annotations
 
+import os
+import shutil
 import sys
 import tempfile
 from dataclasses import dataclass, field
@@ -16,6 +18,8 @@ from .sources.lines import from_files
 from .sources.patterns import Pattern
 
 VERSION = "0.1.0"
+#: The most rows that are fetched at once.
+FEW = 10_000
 USAGE = """usage: logspark [OPTIONS] QUERY [FILE...]
 
   -f, --format FORMAT    table (default), json, csv or markdown
@@ -88,13 +92,17 @@ def session():
     return SparkSession.builder.appName("logspark").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
 
 
-def _spooled(files: list[str]) -> list[str]:
-    """Standard input as a file: Spark reads it by ranges."""
+def _spooled(spark, files: list[str]) -> list[str]:
+    """Standard input as a file, copied in chunks: Spark reads it by ranges.
+
+    It lies in the local folder that spark.checkpoint.dir names, if it does, as executors elsewhere have to see it.
+    """
+    shared = (spark.conf.get("spark.checkpoint.dir", None) or "").removeprefix("file://")
     out = []
     for f in files or ["-"]:
         if f == "-":
-            with tempfile.NamedTemporaryFile("wb", suffix=".log", delete=False) as t:
-                t.write(sys.stdin.buffer.read())
+            with tempfile.NamedTemporaryFile("wb", suffix=".log", delete=False, dir=shared if os.path.isdir(shared) else None) as t:
+                shutil.copyfileobj(sys.stdin.buffer, t)
             f = t.name
         out.append(f)
     return out
@@ -127,12 +135,25 @@ def main(argv: list[str] | None = None, out=None, err=None) -> int:
 
 
 def _run(options: Options, out, err) -> int:
+    from pyspark.sql import Observation
+
     from .engine import query
 
-    source = from_files(session(), _spooled(options.files), options.pattern)
-    writers.write(query(options.query, source, ordered=True), options.format, out)
-    out.flush()
-    if not options.quiet and (n := source.skipped()):
+    spark = session()
+    q = parse(options.query)
+    # Rows that fit in memory come from one job, which counts what it skips as it reads; a limit then ends the reading early.
+    few = not options.quiet and q.items is not None and q.limit is not None and q.limit <= FEW
+    files = _spooled(spark, options.files)
+    try:
+        source = from_files(spark, files, options.pattern)
+        source.watch = Observation("lines") if few else None
+        writers.write(query(options.query, source, ordered=True), options.format, out, at_once=few)
+        out.flush()
+        n = 0 if options.quiet else source.watch.get.get("skipped", 0) if few else source.skipped()
+    finally:
+        for path in set(files).difference(options.files):
+            os.unlink(path)
+    if n:
         tail = f" that the pattern for {', '.join(f for f, _ in source.pattern.names)} does not match" if source.pattern else ""
         err.write(f"logspark: skipped {n} malformed line{'s' * (n != 1)}{tail}\n")
     return 0

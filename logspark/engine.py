@@ -19,8 +19,7 @@ def query(text: str, source: DataFrame | LogLines, ordered: bool = False) -> Dat
     writers print them; without it no sort is planned for groups that the query does not order.
     """
     parsed = parse(text)
-    lines = isinstance(source, LogLines)
-    df = source.records if lines else source
+    spark = (source.lines if isinstance(source, LogLines) else source).sparkSession
     for k, v in SETTINGS.items():
-        df.sparkSession.conf.set(k, v)
-    return Compiler(parsed).compile(df, source.record if lines else None, source.keys if lines else None, ordered)
+        spark.conf.set(k, v)
+    return Compiler(parsed).compile(source, ordered)

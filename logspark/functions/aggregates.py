@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .values import Cell, canon, kind_of, num, part
+from .values import Cell, canon, cmpnum, kind_of, num, part
 
 
 def build(name: str, c: Cell | None, seq: str) -> tuple[Column, str]:
@@ -32,18 +32,22 @@ def build(name: str, c: Cell | None, seq: str) -> tuple[Column, str]:
 def _extreme(name: str, c: Cell, seq: str) -> Column:
     """min and max of values of any kinds.
 
-    Values are compared with the kind that came first: numbers, booleans and texts that spell numbers as numbers if
-    that was a number or a boolean; texts as texts; a first null, array or object stays. So the result is exact where
-    a column is of one kind, and where numbers are mixed with their spellings, without holding a group's values.
+    Values are compared as the first of them can be: as numbers if it is a number, a boolean, or a text that spells a number
+    among others that are numbers; as texts if it is another text or all are texts; a first null, array or object stays. So the
+    result is exact where a column is of one kind, and where numbers are mixed with their spellings in one order,
+    without holding a group's values.
     """
     pick = F.min_by if name == "min" else F.max_by
-    k, v = kind_of(c.col), c.col
+    k, v = kind_of(c), c.col
     present = F.when(v.isNotNull(), F.col(seq))
-    first_kind, first = F.min_by(k, present), F.min_by(v, present)
-    number = F.coalesce(part(v, "num"), part(v, "bool").cast("int").cast("double"), F.when(k == "str", part(v, "str").try_cast("double")))
-    text = part(v, "str")
+    text = part(c, "str")
+    spelled = cmpnum(text)
+    number = F.coalesce(part(c, "num"), part(c, "bool").cast("int").cast("double"), spelled)
+    first_kind, first, numeric_text = F.min_by(k, present), F.min_by(v, present), F.min_by(spelled.isNotNull(), present)
+    has_numbers = F.coalesce(F.max(k.isin("num", "bool")), F.lit(False))
     # Of equal values the earliest stays.
     order = (lambda x: F.struct(x, F.col(seq))) if name == "min" else (lambda x: F.struct(x, -F.col(seq)))
     numeric = pick(v, F.when(number.isNotNull(), order(number)))
     textual = pick(v, F.when(text.isNotNull(), order(text)))
-    return F.when(first_kind.isin("num", "bool"), numeric).when(first_kind == "str", textual).otherwise(first)
+    as_number = first_kind.isin("num", "bool") | (first_kind == "str") & numeric_text & has_numbers
+    return F.when(as_number, numeric).when(first_kind == "str", textual).otherwise(first)

@@ -30,11 +30,11 @@ def _len(v: Cell) -> Cell:
     if v.kind in ("array", "object"):
         return _whole(F.when(v.col.isNotNull(), F.size(v.col)))
     if v.kind == "dyn":
-        k = kind_of(v.col)
+        k = kind_of(v)
         as_array = F.when(k == "array", F.try_variant_get(v.col, "$", "array<variant>"))
         as_map = F.when(k == "object", F.try_variant_get(v.col, "$", "map<string,variant>"))
         counted = lambda x: F.when(x.isNotNull(), F.size(x))
-        return _whole(F.coalesce(F.char_length(part(v.col, "str")), counted(as_array), counted(as_map)))
+        return _whole(F.coalesce(F.char_length(part(v, "str")), counted(as_array), counted(as_map)))
     return Cell("num", F.lit(None).cast("bigint"), whole=True)
 
 
@@ -114,7 +114,7 @@ def _duration_ms(v: Cell) -> Cell:
     elif v.kind == "str":
         out = of_text(v.col)
     elif v.kind == "dyn":
-        out = F.coalesce(part(v.col, "num"), of_text(part(v.col, "str")))
+        out = F.coalesce(part(v, "num"), of_text(part(v, "str")))
     else:
         out = F.lit(None).cast("double")
     return _number(F.when(out >= 0, out))

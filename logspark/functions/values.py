@@ -6,6 +6,7 @@ known per row only. SQL NULL stands for a missing value; null in the data is the
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -24,6 +25,10 @@ class Cell:
     computed: bool = True
     #: num only: whether the column is a whole-number type.
     whole: bool = False
+    #: dyn only: plain columns of its views, worked out once a row and known by name.
+    views: Callable[[str], Column] | None = None
+    #: array and object only: whether the column is JSON text.
+    json: bool = False
 
     @property
     def present(self) -> Column:
@@ -82,38 +87,74 @@ _KINDS = (
 )
 
 
+def view(name: str, v: Column, schema: Column) -> Column:
+    """A view of a variant and the text of its schema, both of them plain columns."""
+    number = schema.isin("BIGINT", "DOUBLE", "FLOAT") | schema.startswith("DECIMAL")
+    if name == "kind":
+        composite = F.when(schema.startswith("OBJECT"), "object").when(schema.startswith("ARRAY"), "array")
+        scalar = F.when(schema == "STRING", "str").when(number, "num").when(schema == "BOOLEAN", "bool").when(schema == "VOID", "null")
+        return F.coalesce(scalar, composite)
+    if name == "num":
+        return F.when(number, F.try_variant_get(v, "$", "double"))
+    if name == "str":
+        return F.when(schema == "STRING", F.try_variant_get(v, "$", "string"))
+    if name == "bool":
+        return F.when(schema == "BOOLEAN", F.try_variant_get(v, "$", "boolean"))
+    if name == "txt":
+        whole = F.when(schema == "BIGINT", F.to_json(v)).when(number, number_spelled(F.try_variant_get(v, "$", "double")))
+        return F.when(schema == "STRING", F.try_variant_get(v, "$", "string")).when(schema == "BOOLEAN", F.to_json(v)).otherwise(whole)
+    # canon
+    whole = F.concat(F.lit("n:"), F.to_json(v))
+    return F.when(schema == "BIGINT", whole).when(number, F.concat(F.lit("f:"), F.try_variant_get(v, "$", "double").cast("string"))).otherwise(
+        F.concat(view("kind", v, schema), F.lit(":"), F.to_json(v))
+    )
+
+
+def number_spelled(x: Column) -> Column:
+    """A number that was written with a fraction or an exponent keeps a fraction."""
+    whole = (x == F.floor(x)) & (F.abs(x) < 1e16)
+    return F.when(whole, F.concat(x.cast("decimal(38,0)").cast("string"), F.lit(".0"))).otherwise(number_text(x))
+
+
+def bound(c: Cell, body: Callable[[Cell], Column]) -> Column:
+    """body of a dyn cell that is worked out once."""
+    return body(c) if c.views else let(c.col, lambda v: body(Cell("dyn", v)))
+
+
 def let(x: Column, body) -> Column:
     """body(x) with x worked out once, however often body mentions it."""
     return F.get(F.transform(F.array(x), body), F.lit(0))
 
 
-def kind_of(v: Column) -> Column:
-    """The kind of a variant as text; NULL for missing."""
+def kind_of(c: Cell) -> Column:
+    """The kind of a dyn cell as text; NULL for missing."""
+    if c.views:
+        return c.views("kind")
+    v = c.col
     names = F.create_map(*[F.lit(y) for pair in _KINDS for y in pair])
     return F.try_element_at(names, F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0))
 
 
-def part(v: Column, kind: str) -> Column:
-    """A variant as a plain column, where it is of that kind."""
+def part(c: Cell, kind: str) -> Column:
+    """A dyn cell as a plain column, where it is of that kind."""
+    if c.views:
+        return c.views(kind)
     spark_type = {"num": "double", "str": "string", "bool": "boolean"}[kind]
-    return F.when(kind_of(v) == kind, F.try_variant_get(v, "$", spark_type))
+    return F.when(kind_of(c) == kind, F.try_variant_get(c.col, "$", spark_type))
 
 
 def as_static(c: Cell, kind: str) -> Cell:
     """A dyn cell seen as that kind, missing elsewhere."""
     if kind in ("num", "str", "bool"):
-        return Cell(kind, part(c.col, kind), computed=False)
-    return Cell(kind, F.when(kind_of(c.col) == kind, F.to_json(c.col)))
+        return Cell(kind, part(c, kind), computed=False)
+    return Cell(kind, F.when(kind_of(c) == kind, F.to_json(c.col)), json=True)
 
 
 def canon(c: Cell) -> Column:
     """What tells values apart as group keys and in count_distinct: kind and JSON text."""
     if c.kind != "dyn":
         return c.col
-    s = F.schema_of_variant(c.col)
-    floating = s.rlike("^(DECIMAL|DOUBLE|FLOAT)")
-    number = F.when(floating, F.concat(F.lit("f:"), F.try_variant_get(c.col, "$", "double").cast("string")))
-    return F.when(floating, number).otherwise(F.concat(kind_of(c.col), F.lit(":"), F.to_json(c.col)))
+    return c.views("canon") if c.views else let(F.struct(c.col.alias("v"), F.schema_of_variant(c.col).alias("s")), lambda x: view("canon", x["v"], x["s"]))
 
 
 # --- views ---------------------------------------------------------------------------------------------
@@ -130,19 +171,14 @@ def txt(c: Cell) -> Column:
     if c.kind == "time":
         return time_text(epoch(c))
     if c.kind == "dyn":
-        return let(c.col, _variant_text)
+        return c.views("txt") if c.views else let(F.struct(c.col.alias("v"), F.schema_of_variant(c.col).alias("s")), lambda x: view("txt", x["v"], x["s"]))
     return F.lit(None).cast("string")
 
 
-def _variant_text(v: Column) -> Column:
-    s, raw, number = F.schema_of_variant(v), F.to_json(v), F.try_variant_get(v, "$", "double")
-    spelled = (
-        F.when(s == "BIGINT", raw)
-        .when((number == F.floor(number)) & (F.abs(number) < 1e16), F.concat(number.cast("decimal(38,0)").cast("string"), F.lit(".0")))
-        .otherwise(number_text(number))
-    )
-    k = kind_of(v)
-    return F.when(k == "str", F.try_variant_get(v, "$", "string")).when(k == "num", spelled).when(k == "bool", raw)
+def json_text(v: Column) -> Column:
+    """A variant as JSON; a number that was written with a fraction keeps one."""
+    s = F.schema_of_variant(v)
+    return F.when(s.startswith("DECIMAL") | (s == "DOUBLE"), txt(Cell("dyn", v))).otherwise(F.to_json(v))
 
 
 def _num_of_text(text: Column) -> Column:
@@ -161,7 +197,7 @@ def num(c: Cell) -> Column:
     if c.kind == "time":
         return epoch(c)
     if c.kind == "dyn":
-        return let(c.col, lambda v: F.coalesce(part(v, "num"), part(v, "bool").cast("int").cast("double"), let(part(v, "str"), _num_of_text)))
+        return bound(c, lambda d: F.coalesce(part(d, "num"), part(d, "bool").cast("int").cast("double"), let(part(d, "str"), _num_of_text)))
     return F.lit(None).cast("double")
 
 
@@ -216,7 +252,7 @@ def epoch(c: Cell) -> Column:
     if c.kind == "str":
         return let(c.col, _text_epoch)
     if c.kind == "dyn":
-        return let(c.col, lambda v: F.coalesce(rescaled(part(v, "num")), let(part(v, "str"), _text_epoch)))
+        return bound(c, lambda d: F.coalesce(rescaled(part(d, "num")), let(part(d, "str"), _text_epoch)))
     return F.lit(None).cast("double")
 
 

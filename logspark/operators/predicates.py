@@ -54,7 +54,7 @@ def compare(op: str, a: Cell, b: Cell) -> Column:
     if kinds in (("array", "array"), ("object", "object")):
         if op not in ("=", "!="):
             return F.lit(False)
-        text = lambda c: c.col if c.col._jc.toString().startswith("CASE") else F.to_json(c.col)
+        text = lambda c: c.col if c.json else F.to_json(c.col)
         return _pair(op, a, b, text(a), text(b))
     if a.kind == b.kind:
         return _pair(op, a, b, a.col, b.col)
@@ -78,7 +78,7 @@ def _shared_view(a: Cell, b: Cell) -> tuple[Column | None, Column | None]:
 
 
 def _by_kind(op: str, a: Cell, kinds: tuple[str, ...], b: Cell) -> Column:
-    own = kind_of(a.col)
+    own = kind_of(a)
     whens = [(own == k, compare(op, as_static(a, k), b)) for k in kinds]
     out = F.when(*whens[0])
     for w in whens[1:]:
@@ -98,7 +98,7 @@ def truthy(c: Cell) -> Column:
     if c.kind == "array":
         return F.size(c.col) > 0
     if c.kind == "dyn":
-        k = kind_of(c.col)
+        k = kind_of(c)
         number, text, flag = (as_static(c, x).col for x in ("num", "str", "bool"))
         return F.when(k == "num", number != 0).when(k == "str", F.char_length(text) > 0).when(k == "bool", flag).when(k.isin("array", "object"), ~F.to_json(c.col).isin("[]", "{}")).otherwise(F.lit(False))
     return c.present

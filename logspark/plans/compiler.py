@@ -10,19 +10,50 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import aggregates, scalar
-from ..functions.values import Cell, canon, cell_of, kind_of, missing, number_text, part
+from ..functions.values import Cell, canon, cell_of, kind_of, missing, number_text, part, view
 from ..operators.predicates import compare, like, truthy
+from ..sources.lines import LogLines, variant_walk
 from . import nodes as N
 
-SEQ = "__seq"
+SEQ, FIELDS = "__seq", "__fields"
+
+
+class Fields:
+    """The fields of log records that a query names, and the views of them that it needs."""
+
+    def __init__(self, field: Callable[[tuple[str, ...]], Column]):
+        self.field = field
+        self.paths: dict[tuple[str, ...], dict[str, None]] = {}
+
+    def cell(self, path: tuple[str, ...]) -> Cell:
+        views = self.paths.setdefault(path, {})
+        number = list(self.paths).index(path)
+
+        def named(name: str) -> Column:
+            views[name] = None
+            return F.col(f"{FIELDS}.{name}{number}")
+
+        return Cell("dyn", F.col(f"{FIELDS}.v{number}"), views=named)
+
+    def attach(self, df: DataFrame) -> DataFrame:
+        """df with FIELDS. What a generator gives is worked out once: filters are not moved below it, to work it out again."""
+        if not self.paths:
+            return df
+        own = {f"__v{i}": self.field(p) for i, p in enumerate(self.paths)}
+        schemas = {f"__s{i}": F.schema_of_variant(f"__v{i}") for i, views in enumerate(self.paths.values()) if views}
+        parts = [F.col(f"__v{i}").alias(f"v{i}") for i in range(len(self.paths))]
+        parts += [view(name, F.col(f"__v{i}"), F.col(f"__s{i}")).alias(f"{name}{i}") for i, views in enumerate(self.paths.values()) for name in views]
+        df = df.select("*", *[c.alias(n) for n, c in own.items()])
+        df = df.select("*", *[c.alias(n) for n, c in schemas.items()])
+        return df.select(*[c for c in df.columns if c not in own and c not in schemas], F.explode(F.array(F.struct(*parts))).alias(FIELDS))
 
 
 @dataclass
 class Scope:
-    """What names mean: the columns of a typed table, or one variant record column, or the results of a grouping."""
+    """What names mean: the columns of a typed table, or the fields of log records, or the results of a grouping."""
 
     schema: T.StructType
-    record: str | None = None
+    fields: Fields | None = None
     settled: dict[N.Value, Cell] = field(default_factory=dict)
     labels: dict[str, Cell] = field(default_factory=dict)
     grouped: bool = False
@@ -31,14 +62,14 @@ class Scope:
         path = tuple(name.split("."))
         if self.grouped:
             return self.labels.get(name, missing())
-        return self._record_field(path) if self.record else self._table_field(path)
+        return self.fields.cell(path) if self.fields else self._table_field(path)
 
     def flat(self, text: str) -> Cell | None:
         """A top-level field whose very name is the text of an expression."""
         if self.grouped:
             return self.labels.get(text)
-        if self.record:
-            return Cell("dyn", _variant_path(self.record, (text,))) if "." in text or "(" in text else None
+        if self.fields:
+            return self.fields.cell((text,)) if "." in text or "(" in text else None
         return cell_of(F.col(f"`{text}`"), self.schema[text].dataType) if text in self.schema.names else None
 
     def _table_field(self, path: tuple[str, ...]) -> Cell:
@@ -53,34 +84,11 @@ class Scope:
             elif isinstance(dtype, T.MapType) and isinstance(dtype.keyType, T.StringType):
                 col, dtype = F.try_element_at(col, F.lit(segment)), dtype.valueType
             elif isinstance(dtype, T.VariantType):
-                return Cell("dyn", _variant_walk(col, path[i:]))
+                return Cell("dyn", variant_walk(col, path[i:]))
             else:
                 return missing()
         return cell_of(col, dtype)
 
-    def _record_field(self, path: tuple[str, ...]) -> Cell:
-        return Cell("dyn", _variant_path(self.record, path))
-
-
-def _step(segment: str, index: bool) -> str:
-    return f"[{segment}]" if index else '["' + segment.replace("\\", "\\\\").replace('"', '\\"') + '"]'
-
-
-def _variant_path(record: str, path: tuple[str, ...]) -> Column:
-    return _variant_walk(F.col(record), path, top=True)
-
-
-def _variant_walk(col: Column, path: tuple[str, ...], top: bool = False) -> Column:
-    """A number in a path is an index where it meets an array, and a key elsewhere."""
-    spelled = ["$"]
-    for i, segment in enumerate(path):
-        steps = [_step(segment, False)]
-        if segment.isdigit() and not (top and i == 0):
-            steps.insert(0, _step(str(int(segment)), True))
-        spelled = [s + t for s in spelled for t in steps]
-    found = [F.try_variant_get(col, s, "variant") for s in spelled]
-    return found[0] if len(found) == 1 else F.coalesce(*found)
-
 
 class Compiler:
     def __init__(self, query: N.Query):
@@ -137,9 +145,16 @@ class Compiler:
 
     # -- plans ----------------------------------------------------------------------------
 
-    def compile(self, df: DataFrame, record: str | None, columns: Callable[[DataFrame], list[str]] | None, ordered: bool) -> DataFrame:
+    def compile(self, source: DataFrame | LogLines, ordered: bool) -> DataFrame:
         q = self.query
-        scope = Scope(df.schema, record)
+        lines = isinstance(source, LogLines)
+        if lines:
+            scope = Scope(T.StructType([]), Fields(source.field))
+            self._name_fields(scope)
+            df = source.records(None if q.items is None else {p[0] for p in scope.fields.paths})
+            df = scope.fields.attach(df)
+        else:
+            df, scope = source, Scope(source.schema)
         if q.where is not None:
             df = df.where(self.condition(q.where, scope))
         # Numbered after the filter, which keeps the order and would not be pushed below the numbering.
@@ -151,9 +166,9 @@ class Compiler:
                 df = df.where(self.condition(q.having, scope))
         items = q.items
         if items is None:
-            names = columns(df) if columns else scope.schema.names
+            names = source.keys(df) if lines and not q.grouped else scope.schema.names
             items = tuple(N.Item(N.Field(n)) for n in names)
-            cells = [(n, Cell("dyn", _variant_path(record, (n,))) if record else cell_of(F.col(f"`{n}`"), scope.schema[n].dataType)) for n in names]
+            cells = [(n, Cell("dyn", source.field((n,))) if lines else cell_of(F.col(f"`{n}`"), scope.schema[n].dataType)) for n in names]
         else:
             cells = [(i.label, self.projected(i.value, scope)) for i in items]
         out = _merged(cells)
@@ -177,7 +192,19 @@ class Compiler:
         q = self.query
         return [*(i.value for i in q.items or ()), *([q.order] if q.order else []), *(N.values_in(q.having) if q.having else [])]
 
-    def _group(self, df: DataFrame, scope: Scope) -> tuple[DataFrame, Scope]:
+    def _name_fields(self, scope: Scope) -> None:
+        """Builds all columns over records once, so that the scope knows which views are needed."""
+        q = self.query
+        if q.where is not None:
+            self.condition(q.where, scope)
+        if q.grouped:
+            self._group_columns(scope)
+        else:
+            out = _merged([(i.label, self.projected(i.value, scope)) for i in q.items or ()])
+            if q.order is not None:
+                self._order_keys(out, scope)
+
+    def _group_columns(self, scope: Scope):
         q = self.query
         keys = [(k, self.value(k.value, scope)) for k in q.keys]
         by, values = [], []
@@ -192,6 +219,10 @@ class Compiler:
             col, kind = aggregates.build(a.name, None if a.arg is None else self.value(a.arg, scope), SEQ)
             values.append(col.alias(f"__a{j}"))
             kinds.append(kind)
+        return keys, by, values, own, kinds
+
+    def _group(self, df: DataFrame, scope: Scope) -> tuple[DataFrame, Scope]:
+        keys, by, values, own, kinds = self._group_columns(scope)
         if SEQ in df.columns:
             values.append(F.min(SEQ).alias(SEQ))
         # A constant key: no records give no group, unlike a global aggregate.
@@ -221,15 +252,15 @@ class Compiler:
         found = [c for c in found if c.kind != "missing"] or [missing()]
         same = {c.kind for c in found}
         if len(same) == 1:
-            cell = Cell(found[0].kind, F.coalesce(*[c.col for c in found]) if len(found) > 1 else found[0].col)
+            cell = Cell(found[0].kind, F.coalesce(*[c.col for c in found])) if len(found) > 1 else found[0]
         else:
             cell = Cell("dyn", F.coalesce(*[scalar.to_variant(c) for c in found]))
         if cell.kind == "dyn":
             # Numbers, booleans and texts that spell numbers by number, then other texts, then the rest, then null.
-            k = kind_of(cell.col)
-            number = F.coalesce(part(cell.col, "num"), part(cell.col, "bool").cast("int").cast("double"))
+            k = kind_of(cell)
+            number = F.coalesce(part(cell, "num"), part(cell, "bool").cast("int").cast("double"))
             rank = F.when(number.isNotNull(), 0).when(k == "str", 1).when(k == "null", 3).when(cell.col.isNotNull(), 2)
-            keys = [number, part(cell.col, "str")]
+            keys = [number, part(cell, "str")]
             first = rank.asc_nulls_last()
             return [first, *[(x.desc_nulls_last() if q.descending else x.asc_nulls_last()) for x in keys]]
         col = F.to_json(cell.col) if cell.kind in ("array", "object") else cell.col
@@ -244,6 +275,8 @@ def _merged(cells: list[tuple[str, Cell]]) -> list[tuple[str, Cell]]:
             continue
         if name in out and out[name].kind == c.kind:
             c = Cell(c.kind, F.coalesce(c.col, out[name].col), c.computed, c.whole)
+        elif name in out and out[name].kind != "missing":
+            c = Cell("dyn", F.coalesce(scalar.to_variant(c), scalar.to_variant(out[name])))
         out[name] = c
     return list(out.items())
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.values import number_text, time_text
+from ..functions.values import json_text, number_text, time_text
 
 FORMATS = {"table": "table", "json": "json", "jsonl": "json", "ndjson": "json", "csv": "csv", "markdown": "markdown", "md": "markdown"}
 
@@ -37,7 +37,9 @@ def as_json_cells(df: DataFrame) -> DataFrame:
             v = c.cast("string")
         elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)):
             v = F.concat(F.lit('"'), time_text(F.unix_micros(c.cast("timestamp")) / F.lit(1e6)), F.lit('"'))
-        elif isinstance(f.dataType, (T.VariantType, T.ArrayType, T.StructType, T.MapType)):
+        elif isinstance(f.dataType, T.VariantType):
+            v = json_text(c)
+        elif isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType)):
             v = F.to_json(c)
         else:
             v = F.regexp_replace(F.to_json(F.array(c.cast("string"))), r"^\[|\]$", "")
@@ -135,8 +137,10 @@ class GrowingTable:
         self.out.write("  ".join(c.ljust(w) for c, w in zip(cells, self.widths, strict=True)).rstrip() + "\n")
 
 
-def write(df: DataFrame, format: str, out: TextIO) -> None:
-    WRITERS[format_named(format)](df.columns, rows_of(df), out)
+def write(df: DataFrame, format: str, out: TextIO, at_once: bool = False) -> None:
+    """at_once: for a few rows, in one job, which observations of the plan wait for."""
+    rows = map(list, as_json_cells(df).collect()) if at_once else rows_of(df)
+    WRITERS[format_named(format)](df.columns, rows, out)
 
 
 def write_files(df: DataFrame, format: str, path: str) -> None:

@@ -8,6 +8,7 @@ back-references and possessive repeats are no part of it.
 from __future__ import annotations
 
 import re
+from collections.abc import Collection
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -30,6 +31,21 @@ class Pattern:
         t = _Translator(text)
         return Pattern(text, t.run(), tuple(t.names))
 
+    def captures(self, line: Column, names: Collection[str] | None) -> Column:
+        """The captures of the first match, those of some names only if they are given, as a map to variants."""
+        from .lines import bare_value
+
+        own = [(name, number) for name, number in self.names if names is None or name in names]
+        got = [F.regexp_extract(line, self.java, number) for _, number in own]
+        got = [F.when(g != "", g) if number in _optional(self.text) else g for g, (_, number) in zip(got, own, strict=True)]
+        if not own:
+            return F.create_map().cast("map<string,variant>")
+        entries = F.transform(
+            F.array(*[F.struct(F.lit(name).alias("key"), g.alias("text")) for (name, _), g in zip(own, got, strict=True)]),
+            lambda x: F.when(x["text"].isNotNull(), F.struct(x["key"].alias("key"), bare_value(x["text"]).alias("value"))),
+        )
+        return F.map_from_entries(F.array_compact(entries))
+
     def to_json(self, line: Column) -> Column:
         """The captures of the first match as JSON text; NULL where nothing matches.
 
@@ -215,7 +231,7 @@ class _Translator:
             return _PLAIN[c]
         if c.isalnum():
             self.i -= 2
-            self.fail(f"unknown escape `\\{c}`")
+            self.fail(f"`\\{c}` has no meaning in a pattern")
         return "\\" + c
 
     def klass(self) -> str:

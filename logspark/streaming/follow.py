@@ -70,6 +70,6 @@ def start(spark: SparkSession, source: DataFrame, text: str, q: N.Query, sink, p
 
 def windowed_counts(source: LogLines, time_field: str, width: str, late: str = "10 minutes") -> DataFrame:
     """An extension: counts by epoch-aligned window, closed once the watermark has passed them. Works on streams and tables."""
-    value = F.try_variant_get(F.col(source.record), f'$["{time_field}"]', "string")
-    timed = source.records.select(F.to_timestamp(value).alias("at")).withWatermark("at", late)
+    value = F.try_variant_get(source.field((time_field,)), "$", "string")
+    timed = source.records([time_field]).select(F.to_timestamp(value).alias("at")).withWatermark("at", late)
     return timed.groupBy(F.window("at", width)).count().select(F.col("window.start").alias("window"), F.col("count").alias("n"))

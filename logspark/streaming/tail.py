@@ -18,7 +18,7 @@ class TailSource(DataSource):
         return "logtail"
 
     def schema(self) -> str:
-        return "value string"
+        return "value binary"
 
     def simpleStreamReader(self, schema: StructType) -> SimpleDataSourceStreamReader:
         return TailReader(self.options["path"], int(self.options.get("maxbytes", 16 << 20)))
@@ -53,9 +53,9 @@ class TailReader(SimpleDataSourceStreamReader):
             if stop is None and data and b"\n" not in data:
                 data += f.readline()  # a line of over the limit
         whole = data.rfind(b"\n") + 1
-        return [(x.decode("utf-8", "replace"),) for x in data[:whole].split(b"\n")[:-1]], at + whole
+        return [(x,) for x in data[:whole].split(b"\n")[:-1]], at + whole
 
 
 def lines(spark: SparkSession, path: str):
     spark.dataSource.register(TailSource)
-    return spark.readStream.format("logtail").option("path", path).load()
+    return spark.readStream.format("logtail").option("path", path).load().selectExpr("cast(value as string) as value")

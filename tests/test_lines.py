@@ -95,6 +95,14 @@ def test_command_line(spark, tmp_path):
     assert cli.main(["select level", str(tmp_path / "none.log")], out, err) == 1
 
 
+def test_limit_reads_once(spark, tmp_path):
+    path = tmp_path / "a.log"
+    path.write_text("no record\n" + '{"a":1}\n' * 5)
+    out, err = io.StringIO(), io.StringIO()
+    assert cli.main(["-f", "json", "select a limit 2", str(path)], out, err) == 0
+    assert out.getvalue() == '{"a":1}\n' * 2 and err.getvalue() in ("", "logspark: skipped 1 malformed line\n")
+
+
 def test_files_keep_their_order(spark, tmp_path):
     paths = []
     for i, n in enumerate((3, 500, 2)):

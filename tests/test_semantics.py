@@ -55,17 +55,17 @@ def test_conditions(lines):
     wrong = {}
     texts = list(CONDITIONS)
     # Each in positive place, and under `not`, where it has to be the opposite.
-    from logspark.plans.compiler import Compiler, Scope
+    from logspark.plans.compiler import Compiler, Fields, Scope
     from logspark.plans.parser import parse
 
-    df = source.records
+    df = source.records()
     compiler = Compiler(parse("select a"))
-    cols = []
+    cols, fields = [], Fields(source.field)
     for i, c in enumerate(texts):
         for sign in ("", "not "):
             where = parse(f"select a where {sign}({c})").where
-            cols.append(compiler.condition(where, Scope(df.schema, source.record)).alias(f"{sign.strip()}{i}"))
-    row = df.select(*cols).first()
+            cols.append(compiler.condition(where, Scope(df.schema, fields)).alias(f"{sign.strip()}{i}"))
+    row = fields.attach(df).select(*cols).first()
     for i, c in enumerate(texts):
         if bool(row[f"{i}"]) != CONDITIONS[c] or bool(row[f"not{i}"]) == CONDITIONS[c]:
             wrong[c] = (row[f"{i}"], row[f"not{i}"])
@@ -80,7 +80,7 @@ def run(source, text):
 def test_grouping(lines):
     source = lines(['{"k":1,"v":3}', '{"k":"1","v":"2"}', '{"v":1}', '{"k":null,"v":7}', '{"k":1.0}', '{"k":1,"v":null}', '{"k":1,"v":"x"}'])
     assert run(source, "select k, count(*), count(v), sum(v), first(v), last(v) group by k") == [
-        ["1", "3", "3", "3", "3", '"x"'], ['"1"', "1", "1", "2", '"2"', '"2"'], [None, "1", "1", "1", "1", "1"], ["null", "1", "1", "7", "7", "7"], ["1", "1", "0", None, None, None],
+        ["1", "3", "3", "3", "3", '"x"'], ['"1"', "1", "1", "2", '"2"', '"2"'], [None, "1", "1", "1", "1", "1"], ["null", "1", "1", "7", "7", "7"], ["1.0", "1", "0", None, None, None],
     ]
     assert run(source, "select count_distinct(v), count_distinct(k)") == [["6", "4"]]
     assert run(source, "select k, count(*) as n group by k limit 2") == [["1", "3"], ['"1"', "1"]]
@@ -113,3 +113,32 @@ def test_scan_gets_filters_and_columns(spark, tmp_path):
     df = query('select text where value > 5 and text like "a%" order by value limit 3', spark.read.parquet(str(tmp_path / "t")))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(value,5)" in plan and "StringStartsWith(text,a)" in plan and "TakeOrderedAndProject" in plan and "other" not in plan
+
+
+def test_mixed_kinds(lines):
+    cells = lambda values: lines([json.dumps({"v": v}) for v in values])
+    for values, low, high in (
+        ([5, "NaN", "7"], "5", '"7"'), (["10", 50], '"10"', "50"), (["10", 5], "5", '"10"'), (["b", "a", 3], '"a"', '"b"'), ([True, 0, 7], "0", "7"),
+        ([None, 3], "null", "null"), (["10", "9"], '"10"', '"9"'), ([" 7 ", 6.5], "6.5", '" 7 "'),
+    ):
+        assert run(cells(values), "select min(v) as lo, max(v) as hi") == [[low, high]], values
+
+
+def test_duplicate_labels_of_two_kinds(lines):
+    source = lines(['{"a":"X","b":3}', '{"a":"Y"}'])
+    assert run(source, "select lower(a) as x, b as x") == [["3"], ['"y"']]
+
+
+def test_odd_keys(lines):
+    odd = {'a"b': 1, "it's": 2, "what?": 3, "a\\b": 4, "": 5, "x.y": 6, "both'\"": 7, "[0]": 8}
+    source = lines([json.dumps(odd), '="v" q"k=1 k=2'])
+    got = query("select *", source)
+    assert got.columns == [*odd, '"v"', 'q"k', "k"]
+    rows = [dict(zip(got.columns, r, strict=True)) for r in rows_of(got)]
+    assert [rows[0][k] for k in odd] == [str(v) for v in odd.values()] and rows[1]["k"] == "2" and rows[1]['q"k'] == "1"
+
+
+def test_numbers_as_written(lines):
+    source = lines(['{"v":1e400}', '{"v":"1e400"}', '{"v":1.0}', '{"v":1}', '{"v":-2e3}', '{"v":"\\"1e999"}', '{"v":-1e999}'])
+    assert run(source, "select v") == [['"1e400"'], ["1.0"], ["1"], ["-2000.0"], ['"\\"1e999"']]
+    assert source.skipped() == 2
