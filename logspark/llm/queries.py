@@ -138,25 +138,32 @@ def _op10_sql() -> str:
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     rows = ", ".join(f"({i}, {quoted(n)}, [{', '.join(map(quoted, licenses.bigrams(licenses.plain_words(t))))}])" for i, (n, t) in enumerate(licenses.TEMPLATES))
     t = licenses.SIMILARITY
+    most = 2 + int(max(len(licenses.bigrams(licenses.plain_words(x))) for _, x in licenses.TEMPLATES) * (2 - t) / t)
     return rf"""
     with templates(id, license, grams) as (values {rows}),
     docs as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
+    lines as (select r, string_split(text, chr(10)) as ls from docs),
+    whole as (select r, text from docs union all select r, replace(text, chr(10), ' ') from docs),
     segments as (
-      select r, unnest(string_split(text, chr(10))) as x from docs
-      union select r, unnest(string_split(regexp_replace(text, '([.!?;])[ 	-
-]+', '' || chr(10), 'g'), chr(10))) from docs
+      select r, unnest(ls) as x from lines
+      union select r, unnest([ls[i] || ' ' || ls[i + 1] for i in range(1, len(ls))]) from lines
+      union select r, unnest([ls[i] || ' ' || ls[i + 1] || ' ' || ls[i + 2] for i in range(1, len(ls) - 1)]) from lines
+      union select r, unnest(string_split(regexp_replace(text, '([.!?;])[\x20\x09-\x0D]+', '\1' || chr(10), 'g'), chr(10))) from whole
+      union select r, unnest(string_split_regex(text, '\n[^\pL\pN\n]*\n')) from docs
       union select r, text from docs),
     words as (select r, list_filter(string_split(trim(regexp_replace(lower(x), '[^\pL\pN]+', ' ', 'g')), ' '), lambda y: y <> '') as w from segments),
     grams as (
       select row_number() over () as g, r, case when len(w) < 2 then w else [w[i] || ' ' || w[i + 1] for i in range(1, len(w))] end as s
-      from words where len(w) between 1 and 60),
+      from words where len(w) between 1 and {most}),
     counted as (select g, s, count(*) as c from (select g, unnest(s) as s from grams) group by all),
     wanted as (select id, s, count(*) as c from (select id, unnest(grams) as s from templates) group by all),
     common as (select g, id, sum(least(a.c, b.c)) as c from counted a join wanted b using (s) group by all),
-    scored as (
-      select r, license, max(2 * c::double / (len(grams.s) + len(templates.grams))) as dice
+    alike as (
+      select g, r, license, max(2 * c::double / (len(grams.s) + len(templates.grams))) as dice
       from common join grams using (g) join templates using (id) group by all
-      having max(2 * c::double / (len(grams.s) + len(templates.grams))) >= {t})
+      having max(2 * c::double / (len(grams.s) + len(templates.grams))) >= {t}),
+    firsts as (select r, license, dice from alike qualify row_number() over (partition by g order by dice desc, license) = 1),
+    scored as (select r, license, max(dice) as dice from firsts group by all)
     select doc_id, coalesce(string_agg(license, ',' order by license), '') as licenses, count(license) as n_licenses,
       coalesce(first(license order by dice desc, license), '') as best, coalesce(max(dice), 0.0::double) as dice
     from docs left join scored using (r) group by r, doc_id"""

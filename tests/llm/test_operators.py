@@ -385,6 +385,46 @@ def test_licenses(spark, docs, none):
     assert json.dumps(licenses.bigrams(["a"])) == '["a"]'
 
 
+def test_full_licenses(spark):
+    mit = """Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software."""
+    gpl = """/* This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ */"""
+    isc = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED AS IS"
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are\nmet:\n\n * Redistributions of source code must retain the above copyright\nnotice, this list of conditions and the following disclaimer.\n * Neither the name of the copyright holder nor the names of its\ncontributors may be used to endorse or promote products derived from\nthis software without specific prior written permission.\n"
+    rows = [(1, mit), (2, gpl), (3, isc), (4, bsd), (5, "#!/bin/sh\n# SPDX-License-Identifier: MIT\necho"), (6, gpl.replace("3 of", "2 of").replace(":", ";")), (7, prose(400) + "\n\n" + mit + "\n\n" + prose(400)), (8, "the software is free of charge")]
+    got = {r.doc_id: r.licenses for r in licenses.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "MIT", 2: "GPL-3.0", 3: "ISC", 4: "BSD-2-Clause,BSD-3-Clause", 5: "MIT", 6: "GPL-2.0", 7: "MIT", 8: ""}
+
+
+def test_license_signatures():
+    rng = random.Random(9)
+    for _, text in licenses.TEMPLATES:
+        grams = licenses.bigrams(licenses.plain_words(text))
+        words, covered = licenses.signature(grams)
+        assert len(covered) > len(grams) / 3 and all(set(g.split()) & set(words) for g in covered)
+        for _ in range(50):  # whatever is similar has one of them
+            own = licenses.plain_words(text)
+            for _ in range(rng.randrange(1 + len(own) // 3)):
+                own[rng.randrange(len(own))] = "zzz"
+            other = licenses.bigrams(own)
+            left = list(grams)
+            common = sum(1 for g in other if g in left and not left.remove(g))
+            assert 2 * common / (len(grams) + len(other)) < licenses.SIMILARITY or set(covered) & set(other)
+
+
 def test_wrapped_licenses(spark):
     body = prose(200, random.Random(8))
     wrapped = ["Use of this source code is governed by a BSD-style\n# license that can be found in the LICENSE file.", "This work is licensed under the GNU General\nPublic License, version 3.", "Subject\n\nThis Source Code Form is subject to the terms of the\n * Mozilla Public License, v. 2.0."]
