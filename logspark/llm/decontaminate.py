@@ -19,6 +19,8 @@ either side gives clean documents; other columns are ignored.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -142,5 +144,6 @@ def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """docs without those that hold an item."""
     leaks = find_leaks(docs, items, **options).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.withColumn("_key", F.xxhash64(text))
-    return keyed.join(leaks, keyed["doc_id"].cast("long").eqNullSafe(leaks["_id"]) & (keyed["_key"] == leaks["_hash"]), "left_anti").drop("_key")
+    key = f"_key{uuid.uuid4().hex[:8]}"  # no column of the caller's
+    keyed = docs.withColumn(key, F.xxhash64(text))
+    return keyed.join(leaks, keyed["doc_id"].cast("long").eqNullSafe(leaks["_id"]) & (keyed[key] == leaks["_hash"]), "left_anti").drop(key)

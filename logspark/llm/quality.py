@@ -197,6 +197,10 @@ def site_posteriors(scored: DataFrame, host: str, path: str) -> DataFrame:
     )
 
 
+#: The columns that classify adds.
+RESULTS = ("p_text", "host_posterior", "path_posterior", "p_good", "keep")
+
+
 def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", sample: int = SAMPLE) -> DataFrame:
     """docs with p_text, host_posterior, path_posterior, p_good and keep (p_good >= 0.5)."""
     model = fit(docs, labels, sample)
@@ -205,12 +209,15 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     def log_odds(texts: pa.Array) -> pa.Array:
         return pa.array(model.log_odds([t or "" for t in texts.to_pylist()]))
 
-    scored = docs.withColumn("_odds", log_odds(F.col("text").cast("string")))
+    # The caller's columns go by other names here, so that none of them meets those of the sites; results take the place of old ones.
+    kept = {f"_c{i}": c for i, c in enumerate(c for c in docs.columns if c not in RESULTS)}
+    scored = docs.select(*[F.col(f"`{c}`").alias(n) for n, c in kept.items()], F.col(host).alias("_h"), F.col(path).alias("_p"), log_odds(F.col("text").cast("string")).alias("_odds"))
     p = 1 / (1 + F.exp(-F.col("_odds")))
-    sites, _ = materialize(site_posteriors(scored.select(host, path, p.alias("p")), host, path), "sites")
-    sites = sites.withColumnsRenamed({host: "_host", path: "_path"})
+    sites, _ = materialize(site_posteriors(scored.select("_h", "_p", p.alias("p")), "_h", "_p"), "sites")
+    sites = sites.withColumnsRenamed({"_h": "_site_h", "_p": "_site_p"})
     # Spark broadcasts the sites only if they are under its size limit; otherwise both sides are dealt by site.
-    out = scored.join(sites, docs[host].eqNullSafe(F.col("_host")) & docs[path].eqNullSafe(F.col("_path")), "left")
+    out = scored.join(sites, F.col("_h").eqNullSafe(F.col("_site_h")) & F.col("_p").eqNullSafe(F.col("_site_p")), "left")
     odds = F.col("_odds") + _logit(F.col("path_posterior")) - _logit(F.col("global_rate"))
     good = 1 / (1 + F.exp(-odds))
-    return out.select(*docs.columns, p.alias("p_text"), "host_posterior", "path_posterior", good.alias("p_good"), (good >= 0.5).alias("keep"))
+    own = [F.col(n).alias(c) for n, c in kept.items()]
+    return out.select(*own, p.alias("p_text"), "host_posterior", "path_posterior", good.alias("p_good"), (good >= 0.5).alias("keep"))

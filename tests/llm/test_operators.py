@@ -166,6 +166,18 @@ def test_wavelet_matrix():
     assert [int((s[:b] == a).sum()) for a, b in zip(c, i, strict=True)] == ranks.tolist()
 
 
+def test_clashing_names(spark, docs):
+    names = {"global_rate": F.lit(1), "path_posterior": F.lit("old"), "keep": F.lit("old"), "_host": F.lit(2), "_odds": F.lit(3), "_key": F.lit(4), "_c0": F.lit(5), "n": F.lit(6), "p": F.lit(7)}
+    df = docs.withColumns(names)
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    out = quality.classify(df, labels)
+    assert out.columns == [c for c in df.columns if c not in quality.RESULTS] + list(quality.RESULTS)
+    rows = out.collect()
+    assert len(rows) == docs.count() and all((r.global_rate, r._host, r._odds, r._c0, r.keep in (True, False)) == (1, 2, 3, 5, True) for r in rows)
+    clean = decontaminate.clean(df, spark.createDataFrame([(1, prose(25))], "item_id long, text string"))
+    assert clean.columns == df.columns and clean.first()._key == 4
+
+
 def test_decontaminate(spark, docs, none):
     item = " ".join(PASSAGE.split()[10:40])
     changed = item.split()
