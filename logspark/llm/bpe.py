@@ -161,6 +161,10 @@ class Coder:
         self.words: dict[str, bytes] = {}
         self.vocab_array = pa.array(self.replay.vocab, pa.large_binary())
 
+    def forget(self) -> None:
+        """Gives up what is remembered, so that an idle worker holds the vocabulary alone."""
+        self.pieces, self.words = {}, {}
+
     def _learn(self, pieces: set[str]) -> dict[str, bytes]:
         """The ids of pieces, from the replay of the words in them that are not yet known."""
         # Pieces with one space, in front, are matched in one run: a word with a space starts a piece.
@@ -211,7 +215,7 @@ _CODERS: dict[tuple, Coder] = {}
 
 
 def coder(data: bytes, pattern: str) -> Coder:
-    """One coder for each vocabulary in a worker process, kept from task to task."""
+    """One coder for each vocabulary in a worker process, kept from task to task; what it remembers lasts for a task."""
     key = (hashlib.sha256(data).digest(), pattern)
     if key not in _CODERS:
         _CODERS[key] = Coder(read_ranks(data), pattern)
@@ -237,12 +241,15 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, column: str
 
     def run(batches):
         own = coder(shared.value, pattern)
-        for batch in portions(batches):
-            codes = own.encode(batch.column(at))
-            arrays = [*batch.columns, codes.cast(pa.binary())]
-            if decoded:
-                arrays.append(own.decode(codes).cast(pa.binary()))
-            yield pa.RecordBatch.from_arrays(arrays, schema.names)
+        try:
+            for batch in portions(batches):
+                codes = own.encode(batch.column(at))
+                arrays = [*batch.columns, codes.cast(pa.binary())]
+                if decoded:
+                    arrays.append(own.decode(codes).cast(pa.binary()))
+                yield pa.RecordBatch.from_arrays(arrays, schema.names)
+        finally:
+            own.forget()
 
     return docs.mapInArrow(run, schema)
 

@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, ship_package
+from .pieces import ROWS
 
 #: The most labelled documents that the model is fitted on, and the most words that it knows.
 SAMPLE, WORDS = 20_000, 50_000
@@ -207,7 +208,8 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
 
     @F.arrow_udf("double")
     def log_odds(texts: pa.Array) -> pa.Array:
-        return pa.array(model.log_odds([t or "" for t in texts.to_pylist()]))
+        parts = [model.log_odds([t or "" for t in texts.slice(i, ROWS).to_pylist()]) for i in range(0, len(texts), ROWS)]
+        return pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
     # The caller's columns go by other names here, so that none of them meets those of the sites; results take the place of old ones.
     kept = {f"_c{i}": c for i, c in enumerate(c for c in docs.columns if c not in RESULTS)}

@@ -176,6 +176,13 @@ def test_clashing_names(spark, docs):
     assert len(rows) == docs.count() and all((r.global_rate, r._host, r._odds, r._c0, r.keep in (True, False)) == (1, 2, 3, 5, True) for r in rows)
     clean = decontaminate.clean(df, spark.createDataFrame([(1, prose(25))], "item_id long, text string"))
     assert clean.columns == df.columns and clean.first()._key == 4
+    own = df.withColumns({"_t": F.lit(8), "_tokens": F.lit(9), "_m": F.lit(10), "_kept": F.lit(11), "_s": F.lit(12)})
+    scanned = secrets.scan(own)
+    assert scanned.columns == [*(c for c in own.columns if c != "secrets"), "secrets"]  # the old one is replaced
+    assert {(r._t, r._tokens, r._m, r._kept, r._key) for r in scanned.collect()} == {(8, 9, 10, 11, 4)}
+    redacted = secrets.redact(secrets.scan(df))
+    assert redacted.columns == [c for c in df.columns if c != "secrets"]
+    assert [r._key for r in redacted.withColumn("n_chars", F.char_length("text")).collect()] == [4] * df.count()
 
 
 def test_decontaminate(spark, docs, none):
