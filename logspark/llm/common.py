@@ -22,13 +22,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 
-    Only where the session names none, as in local tests, a fresh temporary folder is set.
+    Only where a local session names none, as in tests, a fresh temporary folder is set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         jsc = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = jsc.get() if jsc.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         found = "file://" + tempfile.mkdtemp(prefix="logspark-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
