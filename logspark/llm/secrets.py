@@ -6,12 +6,13 @@ counts and of counts of classes (upper case, lower case, digits) against uniform
 middle and between classes, the serial correlation of symbol values at distance one, and the count of equal neighbours.
 Half the sum of their squares is the token's score.
 
-The null hypothesis is that a token is not random but spelled by people. Its distribution is that of decoys: every
-document gives one for each encoding, glued from its own words in camel case with a digit (base 64), or from those of their
-letters that the encoding has, in lengths that go round. A token's p-value is the share of decoys of its encoding and length
-band that score as low. Per encoding and band, Benjamini and Hochberg's procedure over all candidates of the corpus then
-bounds the share of false secrets among those reported as kind `random` by RATE. Bands keep short tokens, whose tests are weak,
-apart from long ones; a band without decoys takes those of the next shorter one, which score lower.
+The null hypothesis is that a token is not random but spelled by people. Its distribution is that of decoys, into which the
+whole of every text goes: what is not itself a candidate is glued together, for each encoding, of all words in camel case
+(base 64, with a digit a decoy) or of all their characters that the encoding has, and cut from end to end into decoys
+of lengths that go round; an end too short for a token belongs to the decoy before it. A token's p-value is the share of decoys of its
+encoding and length band that score as low. Per encoding and band, Benjamini and Hochberg's procedure over all candidates of the
+corpus then bounds the share of false secrets among those reported as kind `random` by RATE. Bands keep short tokens, whose
+tests are weak, apart from long ones; a band without decoys takes those of the next shorter one, which score lower.
 
 Cases: null text is empty; texts and tokens of any length are scanned whole; repeated rows are reported alike; an
 empty table gives no rows; other columns are kept, except for the names of the results, which are replaced.
@@ -20,6 +21,7 @@ empty table gives no rows; other columns are kept, except for the names of the r
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,10 +33,12 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = "AKIA[A-Z0-9]{16,}"  # the whole of 20 characters
 HEX = "[0-9a-f]{24,}"
 CANDIDATE = "[A-Za-z0-9+/_-]{20,}={0,2}"
+#: Those of them with a digit and a letter, which are tested.
+TESTED = "(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])" + CANDIDATE
 KINDS = ("assign", "access", "hex", "random")
 RATE = 0.05
-#: The greatest score told apart, in tenths; and of decoys, how many lengths, each 1.42 times the one before.
-BINS, LENGTHS = 400, 8
+#: The greatest score told apart, in tenths; and the lengths of decoys, the least of each band.
+BINS, LENGTHS = 400, (20, 29, 40, 57, 80, 114, 160, 227)
 ALPHABETS = {
     "hex": "0123456789abcdef",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
@@ -64,11 +68,41 @@ def with_candidates(docs: DataFrame, text: str) -> DataFrame:
     return scored(df.withColumn("_m", F.filter("_m", lambda x: x["match"].rlike("[0-9]") & x["match"].rlike("[A-Za-z]"))))
 
 
+def encoding(m: Column) -> Column:
+    return F.when(m.rlike("^([0-9a-f]+|[0-9A-F]+)$"), F.lit("hex")).when(m.rlike("^[A-Z2-7]+=*$"), F.lit("base32")).otherwise(F.lit("base64"))
+
+
+def band(n: Column) -> Column:
+    return F.least(F.floor(F.log2(n / 20) * 2), F.lit(12)).cast("int")
+
+
+def tested(x: Column) -> Column:
+    """The score, from what scored() or scored_decoys() counted."""
+    n, k, high = x["n"], x["k"], x["high"]
+    chi = x["squares"] * k / n - n
+    z1 = F.greatest((chi - (k - 1)) / F.sqrt(2 * (k - 1) * (1 - 1 / n)), F.lit(0.0))
+    product = 2 * high * (n - high)
+    z2 = F.when(product == 0, F.sqrt(n)).otherwise((x["changes"] - product / n) / F.sqrt(F.greatest(product * (product - n) / (n * n * (n - 1)), F.lit(0.25))))
+    spread = F.greatest(x["yy"] - x["y"] * x["y"] / n, F.lit(1e-9))
+    around = x["yz"] - x["y"] / n * (2 * x["y"] - x["first"] - x["last"]) + (n - 1) * x["y"] * x["y"] / (n * n)
+    z3 = (around / spread + 1 / n) * F.sqrt(n)
+    z4 = F.greatest((x["equal"] - (n - 1) / k) / F.sqrt((n - 1) / k * (1 - 1 / k)), F.lit(0.0))
+    share = lambda of64, of32, of16: F.when(k == 64, of64 / 64).when(k == 32, of32 / 32).otherwise(of16 / 16)
+    p0, p1, p2 = share(26, 26, 10), share(26, 6, 6), share(12, 0, 0)
+    squared = lambda c, p: (c - n * p) * (c - n * p) / (n * p)
+    spread_classes = squared(x["n0"], p0) + squared(x["n1"], p1) + F.when(k == 64, squared(x["n2"], p2)).otherwise(0.0)
+    same = p0 * p0 + p1 * p1 + p2 * p2
+    z6 = (x["moved"] - (n - 1) * (1 - same)) / F.sqrt((n - 1) * same * (1 - same))
+    half = (z1 * z1 + z2 * z2 + z3 * z3 + z4 * z4 + spread_classes + z6 * z6) / 2
+    return F.struct(
+        x["start"], x["end"], x["encoding"],
+        band(n).alias("band"),
+        F.least(F.floor(10 * half), F.lit(BINS)).cast("int").alias("bin"),
+    )
+
+
 def scored(df: DataFrame) -> DataFrame:
     """df (_m array<struct<start, end, match>>) with _tokens in its place."""
-    encoding = (
-        lambda m: F.when(m.rlike("^([0-9a-f]+|[0-9A-F]+)$"), F.lit("hex")).when(m.rlike("^[A-Z2-7]+=*$"), F.lit("base32")).otherwise(F.lit("base64"))
-    )
     alphabet = lambda e: F.when(e == "hex", F.lit(ALPHABETS["hex"])).when(e == "base32", F.lit(ALPHABETS["base32"])).otherwise(F.lit(ALPHABETS["base64"]))
 
     def named(x: Column) -> Column:
@@ -105,50 +139,85 @@ def scored(df: DataFrame) -> DataFrame:
             sized(0).alias("n0"), sized(1).alias("n1"), sized(2).alias("n2"), moved.alias("moved"),
         )
 
-    def tested(x: Column) -> Column:
-        n, k, high = x["n"], x["k"], x["high"]
-        chi = x["squares"] * k / n - n
-        z1 = F.greatest((chi - (k - 1)) / F.sqrt(2 * (k - 1) * (1 - 1 / n)), F.lit(0.0))
-        product = 2 * high * (n - high)
-        z2 = F.when(product == 0, F.sqrt(n)).otherwise((x["changes"] - product / n) / F.sqrt(F.greatest(product * (product - n) / (n * n * (n - 1)), F.lit(0.25))))
-        spread = F.greatest(x["yy"] - x["y"] * x["y"] / n, F.lit(1e-9))
-        around = x["yz"] - x["y"] / n * (2 * x["y"] - x["first"] - x["last"]) + (n - 1) * x["y"] * x["y"] / (n * n)
-        z3 = (around / spread + 1 / n) * F.sqrt(n)
-        z4 = F.greatest((x["equal"] - (n - 1) / k) / F.sqrt((n - 1) / k * (1 - 1 / k)), F.lit(0.0))
-        share = lambda of64, of32, of16: F.when(k == 64, of64 / 64).when(k == 32, of32 / 32).otherwise(of16 / 16)
-        p0, p1, p2 = share(26, 26, 10), share(26, 6, 6), share(12, 0, 0)
-        squared = lambda c, p: (c - n * p) * (c - n * p) / (n * p)
-        spread_classes = squared(x["n0"], p0) + squared(x["n1"], p1) + F.when(k == 64, squared(x["n2"], p2)).otherwise(0.0)
-        same = p0 * p0 + p1 * p1 + p2 * p2
-        z6 = (x["moved"] - (n - 1) * (1 - same)) / F.sqrt((n - 1) * same * (1 - same))
-        half = (z1 * z1 + z2 * z2 + z3 * z3 + z4 * z4 + spread_classes + z6 * z6) / 2
-        return F.struct(
-            x["start"], x["end"], x["encoding"],
-            F.least(F.floor(F.log2(n / 20) * 2), F.lit(12)).cast("int").alias("band"),
-            F.least(F.floor(10 * half), F.lit(BINS)).cast("int").alias("bin"),
-        )
-
     df = df.withColumn("_m", F.transform("_m", named))
     for step in (valued, classed, counted, tested):
         df = df.withColumn("_m", F.transform("_m", step))
     return fixed(df, "_tokens", F.col("_m")).drop("_m")
 
 
-def with_decoys(docs: DataFrame, text: str) -> DataFrame:
-    """docs with _m: a decoy for each encoding, from some 1000 characters about a place that the text's hash picks."""
-    turn = F.pmod(F.xxhash64(text), F.lit(1 << 20)).cast("int")
-    length = F.round(20 * F.pow(F.lit(2.0), F.pmod(turn, F.lit(LENGTHS)) / 2)).cast("int")
-    at = F.pmod(F.floor(turn / LENGTHS), F.greatest(F.char_length(text) - 1000, F.lit(1))).cast("int") + 1
-    df = fixed(docs, "_d", F.struct(F.substring(F.col(text), at, F.lit(1000)).alias("part"), length.alias("n"), F.pmod(turn, F.lit(10)).cast("string").alias("digit")))
-    part, n = F.col("_d.part"), F.col("_d.n")
-    camel = F.array_join(F.transform(F.split(F.lower(part), "[^a-z]+"), F.initcap), "")
-    made = [
-        F.concat(F.substring(camel, F.lit(1), n - 1), F.col("_d.digit")),
-        F.substring(F.regexp_replace(F.lower(part), "[^a-f0-9]", ""), F.lit(1), n),
-        F.substring(F.regexp_replace(F.upper(part), "[^A-Z2-7]", ""), F.lit(1), n),
-    ]
-    tokens = F.array(*[F.struct(F.lit(0).cast("long").alias("start"), n.cast("long").alias("end"), m.alias("match")) for m in made])
-    return df.withColumn("_m", F.filter(tokens, lambda x: F.char_length(x["match"]) == x["end"]))
+def _tables(e: str) -> tuple[str, str, str]:
+    """SQL arrays for tokens of at most 255 characters of an encoding, whose sums hold all that `counted` counts.
+
+    Places in the alphabet by ASCII code; by place, n0, n1, high, y (14 bits) and yy (20) from the top; by the place before
+    (64: none) and the place, moved, changes, equal and yz (20 bits), above the place itself less the one before (7 bits).
+    """
+    alphabet = ALPHABETS[e]
+    k = len(alphabet)
+    upper = 10 if e == "hex" else 26
+    kind = lambda y: 0 if y < upper else 2 if e == "base64" and y >= 52 else 1
+    high = lambda y: 2 * y >= k
+    codes = [max(alphabet.find(chr(c)), 0) for c in range(128)]
+    single = [(kind(y) == 0) << 50 | (kind(y) == 1) << 42 | high(y) << 34 | y << 20 | y * y for y in range(64)]
+    pair = lambda z, y: (kind(z) != kind(y)) << 36 | (high(z) != high(y)) << 28 | (z == y) << 20 | z * y
+    pairs = [((pair(z, y) if z < 64 else 0) << 7) + y - z for z in range(65) for y in range(64)]
+    return f"array({','.join(map(str, codes))})", *(f"array({','.join(f'{int(x)}L' for x in t)})" for t in (single, pairs))
+
+
+def with_decoys(docs: DataFrame, text: str, encodings: Iterable[str] = ALPHABETS) -> DataFrame:
+    """(encoding, word): all decoys of all texts in these encodings, a row for each."""
+    # Equal texts give equal decoys; the text's hash picks the length it begins with.
+    turn = F.pmod(F.xxhash64(text), F.lit(10 * len(LENGTHS))).cast("int")
+    df = fixed(docs, "_d", F.struct(F.regexp_replace(F.col(text), TESTED, " ").alias("rest"), turn.alias("turn")))
+    rest, turn = F.col("_d.rest"), F.col("_d.turn")
+
+    def cut(whole: Column, less: int) -> Column:
+        """All of a text without blanks in pieces, each `less` shorter than its decoy."""
+        sizes = [n - less for n in LENGTHS]
+        turned = [sizes[i:] + sizes[:i] for i in range(len(sizes))]
+        patterns = F.array(*[F.lit("(.{1,%d})" % t[0] + "".join("(.{0,%d})" % n for n in t[1:])) for t in turned])
+        parted = F.rtrim(F.regexp_replace(whole, F.get(patterns, turn % len(sizes)), F.lit(" ".join(f"${i + 1}" for i in range(len(sizes))) + " ")))
+        # An end that is too short goes to the piece before it.
+        return F.filter(F.split(F.regexp_replace(parted, " ([^ ]{1,%d})$" % (sizes[0] - 1), "$1"), " "), lambda p: F.char_length(p) >= sizes[0])
+
+    camel = F.replace(F.initcap(F.regexp_replace(F.lower(rest), "[^a-z]+", " ")), F.lit(" "), F.lit(""))
+    made = {
+        "base64": F.transform(cut(camel, 1), lambda p, i: F.concat(p, F.pmod(turn + i, F.lit(10)).cast("string"))),
+        "hex": cut(F.regexp_replace(F.lower(rest), "[^a-f0-9]+", ""), 0),
+        "base32": cut(F.regexp_replace(F.upper(rest), "[^A-Z2-7]+", ""), 0),
+    }
+    of = lambda e, words: F.transform(words, lambda w: F.struct(F.lit(e).alias("encoding"), w.alias("word")))
+    return df.select(F.explode(F.concat(*[of(e, words) for e, words in made.items() if e in encodings])).alias("_w")).select("_w.encoding", "_w.word")
+
+
+def scored_decoys(decoys: DataFrame) -> DataFrame:
+    """(encoding, word of at most 255 characters of it) -> _tokens, as scored() gives it: by table, since there are many."""
+    tables = {e: [F.expr(t) for t in _tables(e)] for e in ALPHABETS}
+    plain = F.when(F.col("encoding") == "hex", F.lower("word")).otherwise(F.col("word"))
+    df = fixed(decoys.select("encoding", plain.alias("word")), "_c", F.split("word", ""))
+
+    def per(f) -> Column:
+        return F.when(F.col("encoding") == "hex", f(*tables["hex"])).when(F.col("encoding") == "base32", f(*tables["base32"])).otherwise(f(*tables["base64"]))
+
+    n, code = F.size("_c"), lambda codes, c: F.get(codes, F.ascii(c))
+    counted = lambda c: (n - F.char_length(F.replace(F.col("word"), c, F.lit("")))).cast("long")
+    df = fixed(df, "_k", per(lambda codes, single, pairs: F.transform(F.array_distinct("_c"), lambda c: F.struct(counted(c).alias("n"), code(codes, c).alias("y")))))
+    zero = F.lit(0).cast("long")
+    singles = lambda codes, single, pairs: F.aggregate("_k", zero, lambda s, x: s + x["n"] * F.get(single, x["y"]))
+    neighbours = lambda codes, single, pairs: F.aggregate("_c", F.lit(64).cast("long"), lambda s, c: s + F.get(pairs, (s.bitwiseAND(F.lit(127)) * 64 + code(codes, c)).cast("int")))
+    squares = F.aggregate("_k", zero, lambda s, x: s + x["n"] * x["n"]).cast("double")
+    first, last = (per(lambda codes, single, pairs, at=at: code(codes, F.element_at("_c", at))).cast("double") for at in (1, -1))
+    df = fixed(df, "_s", F.struct(per(singles).alias("one"), F.shiftright(per(neighbours), 7).alias("two"), squares.alias("squares"), first.alias("first"), last.alias("last"), n.cast("long").alias("n")))
+    part = lambda x, at, bits: F.shiftright(F.col(x), at).bitwiseAND(F.lit((1 << bits) - 1)).cast("double")
+    n = F.col("_s.n").cast("double")
+    n0, n1 = part("_s.one", 50, 8), part("_s.one", 42, 8)
+    k = F.when(F.col("encoding") == "hex", 16.0).when(F.col("encoding") == "base32", 32.0).otherwise(64.0)
+    counts = F.struct(
+        F.lit(0).cast("long").alias("start"), F.col("_s.n").alias("end"), F.col("encoding"), n.alias("n"), k.alias("k"), F.col("_s.squares").alias("squares"),
+        part("_s.one", 34, 8).alias("high"), part("_s.two", 28, 8).alias("changes"), part("_s.two", 20, 8).alias("equal"), part("_s.two", 0, 20).alias("yz"),
+        part("_s.one", 20, 14).alias("y"), part("_s.one", 0, 20).alias("yy"), F.col("_s.first").alias("first"), F.col("_s.last").alias("last"),
+        n0.alias("n0"), n1.alias("n1"), (n - n0 - n1).alias("n2"), part("_s.two", 36, 8).alias("moved"),
+    )
+    return fixed(fixed(df.select("encoding", "_s"), "_m", counts), "_tokens", F.array(tested(F.col("_m"))))
 
 
 def least_random(candidates: dict[int, int], decoys: dict[int, int], rate: float = RATE) -> int:
@@ -172,16 +241,25 @@ def thresholds(docs: DataFrame, text: str, rate: float = RATE) -> dict[tuple[str
     The histograms have at most 3 encodings x 13 bands x 401 bins each; so much, and no more, reaches the driver.
     """
     own = docs.select(text)
-    tokens = with_candidates(own, text).select(F.lit(False).alias("decoy"), F.explode("_tokens").alias("t"))
-    tokens = tokens.union(scored(with_decoys(own, text)).select(F.lit(True), F.explode("_tokens")))
-    counts, _ = materialize(tokens.groupBy("decoy", "t.encoding", "t.band", "t.bin").count(), "histogram")
-    bins: dict[bool, dict[tuple[str, int], dict[int, int]]] = {False: {}, True: {}}
-    for r in counts.collect():
-        bins[r.decoy].setdefault((r.encoding, r.band), {})[r.bin] = r["count"]
+
+    def histogram(tokens: DataFrame) -> dict[tuple[str, int], dict[int, int]]:
+        counts, _ = materialize(tokens.select(F.explode("_tokens").alias("t")).groupBy("t.encoding", "t.band", "t.bin").count(), "histogram")
+        bins: dict[tuple[str, int], dict[int, int]] = {}
+        for r in counts.collect():
+            bins.setdefault((r.encoding, r.band), {})[r.bin] = r["count"]
+        return bins
+
+    candidates = histogram(with_candidates(own, text))
+    if not candidates:
+        return {}
+    # No candidate is held against decoys of another encoding or of a longer band, so those need no score.
+    longest = {e: max(b for x, b in candidates if x == e) for e, _ in candidates}
+    asked = F.exists(F.array(*[F.struct(F.lit(e).alias("e"), F.lit(b).alias("b")) for e, b in longest.items()]), lambda x: (x["e"] == F.col("encoding")) & (band(F.char_length("word")) <= x["b"]))
+    null = histogram(scored_decoys(with_decoys(own, text, longest).where(asked)))
     out = {}
-    for (encoding, band), candidates in bins[False].items():
-        decoys = next((bins[True][encoding, b] for b in range(band, -1, -1) if (encoding, b) in bins[True]), {})
-        out[encoding, band] = least_random(candidates, decoys, rate)
+    for (e, b), tokens in candidates.items():
+        decoys = next((null[e, x] for x in range(b, -1, -1) if (e, x) in null), {})
+        out[e, b] = least_random(tokens, decoys, rate)
     return out
 
 

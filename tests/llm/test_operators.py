@@ -311,6 +311,39 @@ def test_battery_against_numpy(spark):
         assert got.encoding == e and got.bin == min(secrets.BINS, int(np.floor(score + 1e-9))) or abs(score - round(score)) < 1e-6
 
 
+def test_decoys_hold_whole_texts(spark):
+    rng = random.Random(8)
+    key = "".join(rng.choice(secrets.ALPHABETS["base64"]) for _ in range(50)) + "aA1"
+    rows = [(i, f"{prose(n, rng)} {key}== {prose(n, rng)} " + "x7" * (n % 3)) for i, n in enumerate([0, 1, 2, 3, 5, 30, 200, 3000])] + [(90, "É 😀 $1 \\"), (91, "deadbeef " * 40), (92, "A B C D E F " * 9)]
+    rest = lambda t: t.replace(key + "==", " ")
+    forms = {
+        "base64": lambda t: "".join(w.capitalize() for w in re.findall("[a-z]+", rest(t).lower())),
+        "hex": lambda t: re.sub("[^a-f0-9]", "", rest(t).lower()),
+        "base32": lambda t: re.sub("[^A-Z2-7]", "", rest(t).upper()),
+    }
+    for _, t in rows:
+        df = spark.createDataFrame([(t,)], "t string")
+        left = [r.word for r in secrets.with_decoys(df, "t").collect()]
+        for e, less in (("base64", 1), ("hex", 0), ("base32", 0)):
+            whole, seen = forms[e](t), ""
+            while left and len(whole) >= 20 - less and len(seen) < len(whole):
+                word = left.pop(0)
+                assert 20 <= len(word) <= 227 + 19 and (not less or word[-1].isdigit())
+                seen += word[: len(word) - less]
+            assert seen == (whole if len(whole) >= 20 - less else "")
+        assert not left
+
+
+def test_decoys_score_as_candidates_do(spark):
+    rng = random.Random(6)
+    words = ["".join(rng.choice(secrets.ALPHABETS[e]) for _ in range(rng.randrange(20, 247))) for e in ("hex", "base32", "base64") for _ in range(40)]
+    words += ["0" * 246, "/" * 246, "A" * 20, "ABCDEF" * 4, "f9" * 100, "Za" * 100, "Lorem" * 20 + "1"]
+    df = spark.createDataFrame([(t,) for t in words], "word string").withColumn("encoding", secrets.encoding(F.col("word")))
+    one = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.char_length("word").cast("long").alias("end"), F.col("word").alias("match")))
+    want = sorted(tuple(r._tokens[0]) for r in secrets.scored(df.select(one.alias("_m"))).collect())
+    assert sorted(tuple(r._tokens[0]) for r in secrets.scored_decoys(df).collect()) == want
+
+
 def test_prefix_hashes():
     a, b = prefixes.PrefixHashes("hello world, xyz"), prefixes.PrefixHashes("say hello world!")
     assert a.extension(0, b, 4) == 11 and a.span(0, 5) == b.span(4, 9) and a.span(0, 5) != b.span(5, 10)
