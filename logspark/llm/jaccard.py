@@ -1,8 +1,10 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: candidates by min-hashes, verified exactly.
+"""Near-duplicates by the Jaccard similarity of word shingles: candidates by SimHash and by min-hashes, verified exactly.
 
-A text is the set of its shingles' 64-bit hashes. Each set has BANDS keys of ROWS min-hashes; two sets that share a key
-meet in that key's bucket. At a similarity of 0.8 a pair shares no key with a chance of 0.59 ** 20, about 1 in 38,000,
-and with less above; equal sets are one node from the start. Buckets of the same members are worked out once. In a
+A text is the set of its shingles' 64-bit hashes. Its SimHash is linked to those within RADIUS bits by the grid join of
+simhash.py (segment popcounts), and each component of these links, equal fingerprints included, is a bucket. A pair at a similarity
+of 0.8 differs by some 10 of 64 bits, which no grid of that size can reach, so each set has beside that BANDS keys of ROWS
+min-hashes; two sets that share a key meet in that key's bucket. At 0.8 a pair shares no key with a chance of 0.59 ** 20, about
+1 in 38,000, and with less above; equal sets are one node from the start. Buckets of the same members are worked out once. In a
 bucket, similarities are exact, and all that are reached by links of `similarity` or more are linked, by a search
 that compares each text with those not yet reached: a bucket of close copies costs one pass. A bucket's sets lie
 in one task's memory, so one with over HOT hashes is dealt in chunks of half of that, and each two of its chunks meet as a
@@ -24,9 +26,10 @@ from pyspark.sql import functions as F
 from .common import materialize, ship_package, text_or_empty
 from .graph import connected_components
 from .pieces import portions
+from .simhash import hamming_links, majority
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS, SEED = 20, 4, 42
+BANDS, ROWS, SEED, RADIUS = 20, 4, 42, 3
 #: The most hashes of a bucket that are held at once; a single text's are held whole.
 HOT = 2_000_000
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -125,6 +128,14 @@ def _routes(dealt: DataFrame, hot: int) -> DataFrame:
     return rows.where("chunks = 1").select("node", "cell").union(pairs)
 
 
+def _fingerprint_cells(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(node, size, fp) -> (node, size, cell): a cell for each component of the fingerprints within radius."""
+    fps, _ = materialize(classes.select("fp").distinct(), "class-fingerprints")
+    found = connected_components(hamming_links(fps, radius)).select(F.col("node").alias("fp"), "component")
+    # A word beside the component keeps these cells apart from the min-hashes' ones.
+    return classes.join(found, "fp", "left").select("node", "size", F.xxhash64(F.lit("simhash"), F.coalesce("component", "fp")).alias("cell"))
+
+
 def _rows(docs: DataFrame) -> DataFrame:
     """docs with _id and _text, by which a row is known."""
     return docs.withColumns({"_id": F.col("doc_id").cast("long"), "_text": F.xxhash64(text_or_empty())})
@@ -140,7 +151,8 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARI
             node = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in own], np.uint64).view(np.int64)
             cells = pa.array([keys(s) for s in own], pa.list_(pa.int64()))
             size = pa.array([len(s) for s in own], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node), size, cells], ["_id", "_text", "node", "size", "cells"])
+            fp = pa.array(np.array([majority(s) for s in own], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node), size, fp, cells], ["_id", "_text", "node", "size", "fp", "cells"])
 
     def collect(batches):
         for batch in portions(batches):
@@ -148,10 +160,10 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARI
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], ["node", "grams"])
 
     texts = _rows(docs).select("_id", "_text", text_or_empty().alias("text"))
-    marked, _ = materialize(texts.mapInArrow(sign, "_id long, _text long, node long, size long, cells array<long>"), "signed")
+    marked, _ = materialize(texts.mapInArrow(sign, "_id long, _text long, node long, size long, fp long, cells array<long>"), "signed")
     best = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_text"))
-    classes, _ = materialize(marked.groupBy("node").agg(best.alias("best"), F.any_value("size").alias("size"), F.any_value("cells").alias("cells")), "classes")
-    dealt, _ = materialize(classes.select("node", "size", F.explode("cells").alias("cell")), "dealt")
+    classes, _ = materialize(marked.groupBy("node").agg(best.alias("best"), F.any_value("size").alias("size"), F.any_value("fp").alias("fp"), F.any_value("cells").alias("cells")), "classes")
+    dealt, _ = materialize(_fingerprint_cells(classes).union(classes.select("node", "size", F.explode("cells").alias("cell"))), "dealt")
     routes, _ = materialize(_routes(dealt, hot), "routes")
     chosen = classes.join(routes.select("node").distinct(), "node", "left_semi").select("node", F.col("best._id").alias("i"), F.col("best._text").alias("t"))
     found = texts.join(chosen, texts["_id"].eqNullSafe(F.col("i")) & (texts["_text"] == F.col("t"))).select("node", "text")

@@ -39,10 +39,14 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
         grams = [b" ".join(words)]
     else:
         grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
-    hashes = [xxhash.xxh64_intdigest(g, SEED) for g in grams]
+    return majority(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half the hashes have."""
     total = np.zeros(64, dtype=np.int64)
     for i in range(0, len(hashes), 1 << 16):  # bounds the unpacked bits of long texts
-        part = np.array(hashes[i : i + (1 << 16)], dtype="<u8")
+        part = np.ascontiguousarray(hashes[i : i + (1 << 16)], dtype="<u8")
         total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * total > len(hashes), bitorder="little").view("<u8")[0])
 

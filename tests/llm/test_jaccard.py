@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from logspark.llm import jaccard
+from logspark.llm import jaccard, simhash
 
 SF = "/root/testdata/sf0.01"
 
@@ -101,3 +101,28 @@ def test_rows_are_known_by_id_and_text(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = [(r.doc_id, r.text) for r in jaccard.one_of_each(df).collect()]
     assert sorted(got, key=lambda r: r[1]) == [(1, a), (2, b), (None, c)]
+
+
+def test_fingerprints_link_what_min_hashes_miss(spark, monkeypatch):
+    """Without any shared min-hash key, near copies within three bits are still found, by the SimHash join alone."""
+    rng = random.Random(3)
+    rows = []
+    for k in range(40):
+        text = rng.choices([f"w{i}" for i in range(500)], k=400)
+        rows += [(10 * k, " ".join(text)), (10 * k + 1, " ".join([*text[:-1], "changed"]))]
+    sets = {i: jaccard.grams(t) for i, t in rows}
+    bits = {i: simhash.majority(s) for i, s in sets.items()}
+    near = {(i, i + 1) for i in range(0, 400, 10) if (bits[i] ^ bits[i + 1]).bit_count() <= 3}
+    assert len(near) > 30
+    real, routes = jaccard._fingerprint_cells, jaccard._routes
+    # Only the cells of fingerprints reach the buckets.
+    monkeypatch.setattr(jaccard, "_routes", lambda dealt, hot: routes(dealt.join(seen[0], ["node", "cell"], "left_semi"), hot))
+    seen = []
+
+    def cells(classes):
+        seen.append(real(classes).select("node", "cell"))
+        return real(classes)
+
+    monkeypatch.setattr(jaccard, "_fingerprint_cells", cells)
+    kept = {r.doc_id for r in jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert {i for i, _ in rows} - kept == {b for _, b in near}
